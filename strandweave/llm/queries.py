@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, simhash, token_count
+from . import bpe, chat, exact_dedup, mixing, quality, simhash, token_count, warc
 
 #: Shares of the mixed characters. src0 is by far the largest source; the sources that aren't listed share the rest.
 MIX_WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.08}
@@ -44,11 +44,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_chat, op4_token_count, op5_bpe, op7_exact_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_chat, op4_token_count, op5_bpe, op6_warc, op7_exact_dedup, op9_quality)}
 
 _ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 ORACLE_SQL = {
@@ -64,6 +73,13 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len(chat.TURN + chat.BODY + chat.END)}) AS BIGINT) AS formatted_chars
 FROM said GROUP BY conv_id
 """,
+    "op6_warc": f"""
+WITH paid AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+first AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS low FROM paid),
+typed AS (SELECT *, payload_bytes >= {warc.LEAST_REVISIT} AND low IS NOT NULL AND page_id IS DISTINCT FROM low AS again FROM first)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN low END AS refers_to FROM typed
+""",
+    "op9_quality": quality.judge_sql(),
     "op7_exact_dedup": f"""
 WITH norm AS (SELECT doc_id, {LOWER_SQL} AS n FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
