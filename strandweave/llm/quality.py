@@ -36,12 +36,12 @@ def window_hashes(tokens: Column) -> Column:
 
 def repeated_words(windows: Column) -> Column:
     """How many words the windows cover that occur twice or more."""
-    ordered = F.array_sort(F.arrays_zip(windows.alias("h"), F.sequence(F.lit(0), F.size(windows) - 1).alias("at")))
+    ordered = F.array_sort(F.zip_with(windows, F.sequence(F.lit(0), F.size(windows) - 1), lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
     def starts(s: Column) -> Column:
         own = F.sequence(F.lit(0), F.size(s) - 1)
-        twice = F.filter(own, lambda i: F.when(i > 0, s[i]["0"] == s[i - 1]["0"]).otherwise(False) | F.when(i + 1 < F.size(s), s[i]["0"] == s[i + 1]["0"]).otherwise(False))
-        return F.array_sort(F.transform(twice, lambda i: s[i]["1"]))
+        twice = F.filter(own, lambda i: F.when(i > 0, s[i]["h"] == s[i - 1]["h"]).otherwise(False) | F.when(i + 1 < F.size(s), s[i]["h"] == s[i + 1]["h"]).otherwise(False))
+        return F.array_sort(F.transform(twice, lambda i: s[i]["at"]))
 
     zero = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).cast("long").alias("n"))
     step = lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(WINDOW), i - a["at"])).alias("n"))
@@ -128,8 +128,8 @@ def judge_sql(limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_sha
     space = r"[\x20\x09-\x0D]+"
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS source FROM documents),
-split AS (SELECT rid, doc_id, text, source, list_filter(regexp_split_to_array(text, '{space}'), x -> x <> '') AS w,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+split AS (SELECT rid, doc_id, text, source, list_filter(regexp_split_to_array(text, '{space}'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
 base AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM split),
