@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import bpe, exact_dedup, mixing, simhash
+from strandweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from strandweave.llm.queries import MIX_WEIGHTS, tokenizer_path
 from strandweave.llm.shared import new_folder
 
@@ -12,6 +12,12 @@ from strandweave.llm.shared import new_folder
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores as toxic go. The lexicon is learnt from those labelled rows that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels).select(COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.keep_one(docs).select(COLUMNS)
@@ -32,7 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path())
 
 
-STAGES = [("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mixed), ("bpe", encoded)]
+STAGES = [("toxicity", clean), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mixed), ("bpe", encoded)]
 #: Toxicity scores can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 

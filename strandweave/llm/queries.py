@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, quality, simhash, token_count, warc
+from . import bpe, chat, exact_dedup, mixing, quality, secrets, simhash, token_count, toxicity, warc
 
 #: Shares of the mixed characters. src0 is by far the largest source; the sources that aren't listed share the rest.
 MIX_WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.08}
@@ -53,11 +53,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(read(spark, sf_dir, "documents")).drop("key")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_chat, op4_token_count, op5_bpe, op6_warc, op7_exact_dedup, op9_quality)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_simhash, op3_chat, op4_token_count, op5_bpe, op6_warc, op7_exact_dedup, op8_toxicity, op9_quality, op10_secrets)
+}
 
 _ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 ORACLE_SQL = {
