@@ -18,6 +18,7 @@ LEAST_WORDS, LEAST_SHARE = 20, 0.4
 #: Words of the windows that are looked for twice.
 WINDOW = 8
 _SPACE = r"[\x20\x09-\x0D]+"
+_OTHER_SPACE = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"  # any white space but one space
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -25,13 +26,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
-def window_hashes(tokens: Column) -> Column:
-    """A hash of each 8 words in a row, by three rounds that double the width. Needs 9 words or more."""
-    out = F.transform(tokens, lambda w: F.xxhash64(w))
-    for reach in (1, 2, 4):
-        n = F.size(out) - reach
-        out = F.zip_with(F.slice(out, 1, n), F.slice(out, reach + 1, n), lambda a, b: F.xxhash64(a, b))
-    return out
+def window_hashes(hashes: Column, n: Column) -> Column:
+    """A hash of each 8 words in a row, of ``n`` word hashes that are an input column. Needs 8 words or more."""
+    return F.transform(F.slice(hashes, 1, n - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))
 
 
 def repeated_words(windows: Column) -> Column:
@@ -51,19 +48,20 @@ def repeated_words(windows: Column) -> Column:
 
 def text_figures(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, row: of each whole text."""
-    text = filled()
-    tokens = docs.select("doc_id", text.alias("text"), row_of().alias("row"), words(text).alias("tokens"))
+    # each select makes an array that the next one refers to several times, so that it is computed once
+    tokens = docs.select("doc_id", filled().alias("text"), row_of().alias("row"), words(filled()).alias("tokens"))
     n = F.size("tokens")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
-    first = tokens.select(
+    figures = tokens.select(
         "doc_id",
         "row",
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", "tokens")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.when(n > WINDOW, window_hashes(F.col("tokens"))).alias("windows"),
+        F.when(n > WINDOW, F.transform("tokens", lambda w: F.xxhash64(w))).alias("hashes"),
     )
+    first = figures.withColumn("windows", F.when(F.col("n_words") > WINDOW, window_hashes(F.col("hashes"), F.size("hashes"))))
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     return first.select(
         "doc_id",
@@ -83,14 +81,16 @@ def row_of() -> Column:
 
 def normal_line(line: Column) -> Column:
     """Lower case, digits as 0, white space of any kind and length as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), _OTHER_SPACE, " "))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """row, at, line, n: each line with a word; ``line`` hashes host and normalised line, ``n`` counts its words."""
-    split = docs.select("source", row_of().alias("row"), F.posexplode(F.split(filled(), "\n")).alias("at", "raw")).where(F.col("raw").rlike(_WORD))
+    # the text is hashed and left behind before its lines are spread
+    split = docs.select("source", row_of().alias("row"), F.split(filled(), "\n").alias("raws")).select("source", "row", F.posexplode("raws").alias("at", "raw")).where(F.col("raw").rlike(_WORD))
     normal = split.select("source", "row", "at", normal_line(F.col("raw")).alias("normal"))
-    return normal.select("row", "at", F.xxhash64("source", "normal").alias("line"), F.size(F.split("normal", " ")).alias("n"))
+    spaces = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit("")))
+    return normal.select("row", "at", F.xxhash64("source", "normal").alias("line"), (spaces + 1).alias("n"))
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
@@ -111,7 +111,7 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WOR
     base = docs.select("doc_id", "text", "source")
     lines = document_lines(base)
     frequent = staged(frequent_lines(lines, limit), "lines")
-    hits = lines.join(frequent, "line").groupBy("row", "at").agg(F.max("n").alias("n"))
+    hits = lines.join(frequent, "line").groupBy("row", "at").agg(F.max("n").alias("n"))  # copies of a text are one row
     removed = staged(hits.groupBy("row").agg(F.sum("n").alias("n_removed_words")), "removed")
     figures = text_figures(base).join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
