@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def qc_metrics(matrix: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return lead * h
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     """1 - the chi-squared distribution function; 1 without degrees of freedom."""
     return pd.Series([1.0 if d <= 0 else _upper_gamma(d / 2, max(s, 0.0) / 2) for s, d in zip(statistic, df, strict=True)], dtype="float64")
