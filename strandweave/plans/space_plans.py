@@ -101,7 +101,7 @@ def _(t):
     return spatial.smooth(spatial.histogram2d(points_of(t), 64, 64, EXTENT), 64, 64, normalise=True)
 
 
-_EVENTS = "e AS (SELECT DISTINCT user_id AS key, CAST(epoch(ts) AS BIGINT) // 60 AS pos FROM events)"
+_EVENTS = "e AS (SELECT DISTINCT user_id AS key, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pos FROM events)"
 
 
 @query(
@@ -115,7 +115,7 @@ def _(t):
 
 @query(
     "rolling_scores",
-    "WITH m AS (SELECT event_type AS key, CAST(epoch(ts) AS BIGINT) // 3600 AS pos, avg(value) AS v FROM events GROUP BY ALL),"
+    "WITH m AS (SELECT event_type AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS pos, avg(value) AS v FROM events GROUP BY ALL),"
     " r AS (SELECT key, pos, CASE WHEN row_number() OVER o >= 24 THEN avg(v) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) ELSE 0 END AS r FROM m WINDOW o AS (PARTITION BY key ORDER BY pos)),"
     " b AS (SELECT *, min(r) OVER (PARTITION BY key) AS lo, max(r) OVER (PARTITION BY key) AS hi FROM r) SELECT key, pos, round(CASE WHEN hi > lo THEN (r - lo) / (hi - lo) ELSE r END, 6) AS score FROM b",
 )
