@@ -117,14 +117,27 @@ def mask_low_complexity(seq: Column, mask: str = "N", n: int = 20, window: int =
     is low. A window is low below the mean less one standard deviation of all. Shorter sequences stay as they are."""
     last = F.length(seq) - window
     scores = F.transform(sliding_windows(seq, window), lambda w: complexity(w, n))
-    count = F.size(scores)
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / count
-    spread = lambda m: F.sqrt(F.aggregate(scores, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / count)
-    low = F.transform(scores, lambda x: x < mean - spread(mean) - 1e-12)
-    over = lambda i: F.slice(low, F.greatest(i - window + 1, F.lit(0)) + 1, F.least(i, last) - F.greatest(i - window + 1, F.lit(0)) + 1)
-    masked = lambda i: (F.size(F.filter(over(i), lambda x: x)) > 3) | F.coalesce(F.get(over(i), F.lit(0)), F.lit(False))
-    letters = F.transform(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: F.when(masked(i), F.lit(mask)).otherwise(F.substring(seq, i + 1, F.lit(1))))
-    return F.when(last >= 0, F.concat_ws("", letters)).otherwise(seq)
+
+    def cut(s: Column) -> Column:
+        mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)
+        return once(mean, lambda m: m - F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(s)) - 1e-12)
+
+    def letters(low: Column) -> Column:
+        def letter(i: Column) -> Column:
+            first = F.greatest(i - window + 1, F.lit(0))
+            over = F.slice(low, first + 1, F.least(i, last) - first + 1)
+            masked = once(over, lambda o: (F.size(F.filter(o, lambda x: x)) > 3) | o[0])
+            return F.when(masked, F.lit(mask)).otherwise(F.substring(seq, i + 1, F.lit(1)))
+
+        return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.length(seq) - 1), letter))
+
+    result = once(scores, lambda s: once(cut(s), lambda c: once(F.transform(s, lambda x: x < c), letters)))
+    return F.when(last >= 0, result).otherwise(seq)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
 
 
 def sliding_windows(seq: Column, length: int) -> Column:
