@@ -75,7 +75,7 @@ def csr_to_postings(arrays: DataFrame) -> DataFrame:
     """Postings of rows that each hold a chunk of a legacy index: indices, indptr and data arrays."""
     at = arrays.select("indptr", "data", F.posexplode("indices").alias("i", "kmer"))
     cells = F.slice(F.col("data"), F.get("indptr", F.col("i")) + 1, F.get("indptr", F.col("i") + 1) - F.get("indptr", F.col("i")))
-    return at.select("kmer", F.explode(cells).cast("long").alias("cell_id")).distinct()
+    return at.select("kmer", F.explode(cells).alias("cell_id")).select("kmer", F.col("cell_id").cast("long")).distinct()
 
 
 def write_index(postings: DataFrame, path: str, meta: dict | None = None, partitions: int | None = None) -> None:

@@ -55,7 +55,9 @@ def test_search_against_brute_force(spark, reads):
     want = brute_where(queries, [(x.cell_id, x.seq) for x in reads.collect() if "N" not in x.seq], 4, 12, search.vote_threshold(12, 4, 0.65), 0, 100)
     assert {(x.group_id, x.cell_id): x.score for x in got.collect()} == want
     assert {x.cell_id for x in got.where("group_id = 1").collect()} >= set(range(5))
-    assert got.where("group_id = 2").count() == 0
+    long = P.build_postings(reads, 8, overlapping=True)
+    absent = search.where(frame(spark, [(2, ABSENT), (3, QUERY)], "group_id long, seq string"), long, P.kmer_stats(long), 8, 24, 0.65, 0, 100)
+    assert {x.group_id for x in absent.collect()} == {3}
     single = search.where(frame(spark, queries, "group_id long, seq string"), p, stats, 4, 12, 0.65, 0, 100, single_count=True)
     assert {(x.group_id, x.cell_id) for x in single.collect()} == set(want) and single.where("score != 1").count() == 0
     strict = search.where(frame(spark, queries, "group_id long, seq string"), p, stats, 4, 12, 0.99, 0, 100)
