@@ -23,12 +23,13 @@ def kmers_of(reads: DataFrame, k: int, overlapping: bool = False, seq: str = "se
     others = [c for c in reads.columns if c != seq]
     n = F.length("_d")
     last = n - k if overlapping else F.ceil(n / k).cast("int") - 1
-    # a base-four string is made once a read; what follows is substring and conv in generated code
-    coded = reads.select(*others, codec.digits(F.upper(F.col(seq))).alias("_d")).where(n >= k)
+    # a base-four string is made once a read, one byte a base, of which a part is cut without walking there from the
+    # start; what follows is substring and conv in generated code
+    coded = reads.select(*others, F.regexp_replace(codec.digits(F.upper(F.col(seq))), "[^0-3]", "N").cast("binary").alias("_d")).where(n >= k)
     placed = coded.select(*others, "_d", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
     at = F.col("_at") if overlapping else F.least(F.col("_at") * k, n - k)
-    cut = placed.select(*others, F.substring(F.col("_d"), at + 1, F.lit(k)).alias("_k"))
-    return cut.where(~F.col("_k").rlike("[^0-3]")).select(*others, F.conv("_k", 4, 10).cast("long").alias("kmer"))
+    cut = placed.select(*others, F.substring(F.col("_d"), at + 1, F.lit(k)).cast("string").alias("_k"))
+    return cut.where(~F.contains("_k", F.lit("N"))).select(*others, F.conv("_k", 4, 10).cast("long").alias("kmer"))
 
 
 def build_postings(reads: DataFrame, k: int, overlapping: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandweave.functions import codec
 from strandweave.operators import annotate, barcodes, cells, cellxmer, quant, search, spatial, windows
 from strandweave.operators import postings as P
 from strandweave.streaming import ingest
@@ -193,3 +194,11 @@ def test_annotation(spark):
     scores = frame(spark, [(1, "a", 2.0), (1, "b", 1.9), (2, "a", 9.0), (2, "b", 1.0)], "cluster long, cell_type string, score double")
     clusters = frame(spark, [(1, 1), (2, 2), (3, 3)], "cell_id long, cluster long")
     assert {r.cluster: (r.label, r.confidence) for r in annotate.annotate_clusters(scores, clusters).collect()} == {1: ("a/b", "medium"), 2: ("a", "high"), 3: ("Unknown", "low")}
+
+
+def test_kmers_beside_other_letters(spark):
+    """Letters of several bytes, as any that isn't a base, take one place and give no k-mer; lower case and U are read."""
+    reads = frame(spark, [(1, "acguéAACC"), (2, "AANCCC\U0001f600GG"), (3, ""), (4, None), (5, "ACG")], "cell_id long, seq string")
+    named = lambda df: sorted(tuple(r) for r in df.select("cell_id", codec.decode(F.col("kmer"), 3)).collect())
+    assert named(P.kmers_of(reads, 3, overlapping=True)) == [(1, "AAC"), (1, "ACC"), (1, "ACG"), (1, "CGT"), (2, "CCC"), (5, "ACG")]
+    assert named(P.kmers_of(reads, 3)) == [(1, "ACC"), (1, "ACG"), (2, "CCC"), (5, "ACG")]
