@@ -222,6 +222,38 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(odd).count() == 11 and secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_any_form():
+    field = secrets.trained_field()
+    # symbols, letters only, short: none has a run of eight with a digit
+    for text, secret in [('pwd = "P@55w0rd!x#9"', "P@55w0rd!x#9"), ("Authorization: Bearer AbCdEfGhIjKlMnOpQrStUvWx", "AbCdEfGhIjKlMnOpQrStUvWx"), ('auth="CorrectHorse-Battery_Staple"', "CorrectHorse-Battery_Staple"), ("pwd: s3cr3t1", "s3cr3t1")]:
+        assert [text[a:b] for a, b, _ in secrets.crf_spans(text, field)] == [secret]
+    assert secrets.crf_spans("The secret is out, the token was lost. Password required!", field) == []
+    hits, all_of = Counter(), Counter()
+    for line, spans in secrets.generated_lines(600, 98):
+        found = {(a, b) for a, b, _ in secrets.crf_spans(line, field)}
+        for a, b in spans:
+            kind = "short" if b - a < 8 else "symbols" if re.search(r"[^A-Za-z0-9+/_=.:-]", line[a:b]) else "letters" if not re.search("[0-9]", line[a:b]) else "other"
+            all_of[kind] += 1
+            hits[kind] += (a, b) in found
+    assert len(all_of) == 4 and all(hits[k] > 0.9 * n for k, n in all_of.items())
+    # what is kept of chunks leaves out no path that would win
+    for line, _ in [*secrets.generated_lines(200, 97), ("key: " + "x" * 3000 + "=A!" * 500, []), ("", [])]:
+        chunks, want = list(re.finditer(r"\S+", line)), []
+        of_file = field.gain(secrets.file_features(line))
+        for k, m in enumerate(chunks):
+            one, two = (chunks[k - d][0] if k >= d else "" for d in (1, 2))
+            tokens, rows, start = secrets.chunk_features(*secrets.outline(m[0]), secrets.known_head(m[0]), secrets._clue_of(m[0], one, two))
+            gains = [field.gain(r) for r in rows]
+            if start >= 0:
+                gains[start] = tuple(map(sum, zip(gains[start], field.gain(secrets.word_features(one)[0]), field.gain(secrets.word_features(two)[1]), of_file, strict=True)))
+            for (a, b), label in zip(tokens, field.viterbi(gains), strict=True):
+                if label == 1:
+                    want.append([m.start() + a, m.start() + b])
+                elif label == 2:
+                    want[-1][1] = m.start() + b
+        assert [(a, b) for a, b, _ in secrets.crf_spans(line, field)] == [(a, a + len(line[a:b].rstrip("."))) for a, b in want]
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as pipeline
 
