@@ -47,13 +47,14 @@ def repeated_words(windows: Column) -> Column:
 
 
 def text_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, row: of each whole text."""
+    """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, row: of each whole text."""
     # each select makes an array that the next one refers to several times, so that it is computed once
     tokens = docs.select("doc_id", filled().alias("text"), row_of().alias("row"), words(filled()).alias("tokens"))
     n = F.size("tokens")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
     figures = tokens.select(
         "doc_id",
+        "text",
         "row",
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", "tokens")).cast("long").alias("word_chars"),
@@ -65,6 +66,7 @@ def text_figures(docs: DataFrame) -> DataFrame:
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     return first.select(
         "doc_id",
+        "text",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -101,28 +103,44 @@ def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
     return lines.select("line", "row").distinct().groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") > limit).select("line")
 
 
-def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
+def stripped(text: Column, frequent: Column) -> Column:
+    """The text without the lines at the places of the array ``frequent``; the others as they are, in order."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(frequent, i)), "\n")
 
-    One row for each row of ``docs`` (doc_id, text, source; the source is the host). A null text is empty and fails; a
-    null source is a host of its own; ids play no part, and repeated rows get equal values. Further columns, whatever
-    their names, are not looked at.
-    """
+
+def cleaned(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The columns of ``judge``, and text: without its frequent lines, the other lines in order, of kept rows or not."""
     base = docs.select("doc_id", "text", "source")
     lines = document_lines(base)
     frequent = staged(frequent_lines(lines, limit), "lines")
-    hits = lines.join(frequent, "line").groupBy("row", "at").agg(F.max("n").alias("n"))  # copies of a text are one row
-    removed = staged(hits.groupBy("row").agg(F.sum("n").alias("n_removed_words")), "removed")
-    figures = text_figures(base).join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    hits = lines.join(frequent, "line").groupBy("row").agg(F.collect_set("at").alias("frequent"))  # copies of a text are one row
+    figures = text_figures(base).join(staged(hits, "removed"), "row", "left")
+    rest = figures.withColumn("rest", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(stripped(F.col("text"), F.col("frequent"))))
+    left = rest.withColumn("left", F.when(F.col("frequent").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("rest")))).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    whole = F.col("n_removed_words") == 0
-    return figures.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (whole | (left >= least_words) & (left >= least_share * F.col("n_words")))).alias("kept"), "n_removed_words",
+    removed = F.col("n_words") - F.col("left")
+    whole = removed == 0
+    return left.select(
+        "doc_id", F.col("rest").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (whole | (F.col("left") >= least_words) & (F.col("left") >= least_share * F.col("n_words")))).alias("kept"), removed.alias("n_removed_words"),
     )
 
 
+def clean(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, text: the texts that are kept, without their frequent lines. Texts that fail or are depleted are left out."""
+    return cleaned(docs, limit, least_words, least_share).where("kept").select("doc_id", "text")
+
+
+def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
+
+    One row for each row of ``docs`` (doc_id, text, source; the source is the host). A null text is empty and fails; a
+    null source is a host of its own; ids play no part, and repeated rows get equal values. Further columns, whatever
+    their names, are not looked at. What is removed is counted on the texts of ``cleaned``.
+    """
+    return cleaned(docs, limit, least_words, least_share).drop("text")
+
+
 def judge_sql(limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> str:
     """DuckDB SQL for ``judge`` over the view documents."""
     space = r"[\x20\x09-\x0D]+"
