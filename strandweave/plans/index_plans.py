@@ -211,7 +211,10 @@ _SAMPLES = ("de", "en", "es", "fr")
 @query("merge_samples", f"WITH {CELLS}, {WORDS} SELECT {CODE.format('kmer')} AS kmer, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS sample_id, cell_id FROM words JOIN documents ON doc_id = cell_id")
 def _(t):
     cells = t("documents").select("lang", F.col("doc_id").alias("cell_id"), dna.bases_only(F.col("text")).alias("seq"))
-    return P.merge_samples({s: P.build_postings(cells.where(F.col("lang") == s).drop("lang"), K, overlapping=True) for s in _SAMPLES})[0]
+    merged = P.merge_samples({s: P.build_postings(cells.where(F.col("lang") == s).drop("lang"), K, overlapping=True) for s in _SAMPLES})[0]
+    # as in SQL, cells of any other or no language have postings of no sample
+    others = cells.where(F.col("lang").isNull() | ~F.col("lang").isin(*_SAMPLES)).drop("lang")
+    return merged.unionByName(P.build_postings(others, K, overlapping=True).select("kmer", F.lit(None).cast("int").alias("sample_id"), "cell_id"))
 
 
 _TILED = f"tiles AS (SELECT DISTINCT cell_id, substr(seq, least(j * {K}, length(seq) - {K}) + 1, {K}) AS kmer FROM cells, LATERAL (SELECT unnest(range(0, CAST(ceil(length(seq) / {K}) AS BIGINT))) AS j) WHERE length(seq) >= {K})"

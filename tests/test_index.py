@@ -1,13 +1,16 @@
 """Crafted reads through index, search, merging and streaming."""
 
+import os
 import random
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from strandweave.functions import codec
 from strandweave.operators import annotate, barcodes, cells, cellxmer, quant, search, spatial, windows
 from strandweave.operators import postings as P
+from strandweave.plans import catalog
 from strandweave.streaming import ingest
 
 QUERY, ABSENT = "ACGTTGCATGCCATGGATCCGTAA", "T" * 24
@@ -202,3 +205,14 @@ def test_kmers_beside_other_letters(spark):
     named = lambda df: sorted(tuple(r) for r in df.select("cell_id", codec.decode(F.col("kmer"), 3)).collect())
     assert named(P.kmers_of(reads, 3, overlapping=True)) == [(1, "AAC"), (1, "ACC"), (1, "ACG"), (1, "CGT"), (2, "CCC"), (5, "ACG")]
     assert named(P.kmers_of(reads, 3)) == [(1, "ACC"), (1, "ACG"), (2, "CCC"), (5, "ACG")]
+
+
+def test_merge_samples_keeps_other_languages(spark, same, tmp_path):
+    for name in os.listdir(DATA):
+        if name != "documents.parquet":
+            os.symlink(f"{DATA}/{name}", tmp_path / name)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    lang = F.when(F.col("doc_id") % 5 == 0, "it").when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.col("lang"))
+    docs.withColumn("lang", lang).coalesce(1).write.parquet(f"{tmp_path}/new")
+    os.rename(next((tmp_path / "new").glob("part-*.parquet")), tmp_path / "documents.parquet")
+    same(catalog.QUERIES["merge_samples"](spark, str(tmp_path)), catalog.ORACLE_SQL["merge_samples"], str(tmp_path))
