@@ -231,5 +231,6 @@ def _(t):
 @query("kmeans_clusters")
 def _(t):
     brands = brands_of(t)
-    features = sorted(r[0] for r in brands.select("feature").distinct().limit(512).collect())
+    # all brands, which a catalogue has few of; PCA fails beyond 65,535
+    features = sorted(r[0] for r in brands.select("feature").distinct().collect())
     return annotate.cluster_cells(brands, features, k=4, components=5)

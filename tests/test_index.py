@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import codec
 from strandweave.operators import annotate, barcodes, cells, cellxmer, quant, search, spatial, windows
 from strandweave.operators import postings as P
-from strandweave.plans import catalog
+from strandweave.plans import catalog, cell_plans
 from strandweave.streaming import ingest
 
 QUERY, ABSENT = "ACGTTGCATGCCATGGATCCGTAA", "T" * 24
@@ -216,3 +216,15 @@ def test_merge_samples_keeps_other_languages(spark, same, tmp_path):
     docs.withColumn("lang", lang).coalesce(1).write.parquet(f"{tmp_path}/new")
     os.rename(next((tmp_path / "new").glob("part-*.parquet")), tmp_path / "documents.parquet")
     same(catalog.QUERIES["merge_samples"](spark, str(tmp_path)), catalog.ORACLE_SQL["merge_samples"], str(tmp_path))
+
+
+def test_kmeans_takes_all_features(spark, monkeypatch, tmp_path):
+    for name in os.listdir(DATA):
+        if name not in ("part.parquet", "lineitem.parquet"):
+            os.symlink(f"{DATA}/{name}", tmp_path / name)
+    spark.range(700).selectExpr("id AS p_partkey", "concat('brand', id) AS p_brand", "'x y' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1400).selectExpr("id % 700 AS l_partkey", "id % 20 AS l_suppkey", "id % 9 + 1.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    taken = []
+    monkeypatch.setattr(cell_plans.annotate, "cluster_cells", lambda matrix, features, **_: taken.extend(features) or matrix)
+    catalog.QUERIES["kmeans_clusters"](spark, str(tmp_path))
+    assert len(taken) == 700
