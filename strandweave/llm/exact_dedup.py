@@ -1,74 +1,83 @@
 """Exact deduplication over counting quotient filters.
 
-A 64-bit fingerprint of each normalised text is split into a quotient and a remainder. Each partition builds a counting
-quotient filter of its own fingerprints: per quotient a sorted run of remainders with counts, encoded as occupied bits,
-run-end bits, remainders and counters. Filters are cut at quotient borders into slices, and the slices of a border are
-merged by their sorted remainders, which loses nothing: counts add up. Fingerprints whose count is above one route their
-rows to byte verification; all other rows are known to be alone.
+A 64-bit fingerprint of each normalised text is split into slice, quotient and remainder. Each partition builds counting
+quotient filters of its own fingerprints, one a slice: per quotient a sorted run of remainders with counts, encoded as
+occupied bits, run-end bits, remainders and counters. The quotient has as many bits as the filter's number of entries
+asks for. The filters of a slice are merged by their sorted remainders, which loses nothing: counts add up. Only the texts
+of fingerprints whose count is above one are read again and compared byte by byte; all other rows are known to be alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filled, row_key, staged
+from .shared import discard, filled, join_by_size, row_key, staged
 
-#: Low bits of a fingerprint that are the remainder; the others are the quotient.
-REMAINDER_BITS = 32
 #: Fingerprints that one merged slice should hold.
-SLICE_ROWS = 1 << 18
+SLICE_ROWS = 1 << 22
+#: The seed that F.xxhash64 uses.
+SEED = 42
+#: Entries that a filter has at most for each quotient.
+LOAD = 0.95
+_HEAD = struct.Struct("<QIBB")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def encode_filter(prints: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct fingerprints of one slice and their counts, as a counting quotient filter.
+def encode_filter(prints: np.ndarray, counts: np.ndarray, top: int = 0) -> bytes:
+    """Sorted distinct fingerprints that share their ``top`` high bits, and their counts, as a counting quotient filter.
 
-    Layout: first quotient, quotient span, entries, occupied bits (one a quotient), run-end bits (one an entry),
-    remainders, counters. A counter is one byte; 255 says that the full one is in the list at the end.
+    Layout: the shared bits, entries, ``top``, quotient bits; occupied bits (one a quotient), run-end bits (one an
+    entry), remainders in whole bytes, counters. A counter is one byte; 255 says that the full one is in the list at
+    the end.
     """
-    quotients = (prints >> np.uint64(REMAINDER_BITS)).astype(np.int64)
-    first, span = int(quotients[0]), int(quotients[-1] - quotients[0]) + 1
-    sparse = span > 64 * len(prints)
+    n = len(prints)
+    width = max(int(n / LOAD).bit_length(), 1)  # load above 0.47
+    low = 64 - top - width
+    quotients = (prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
+    remainders = prints & np.uint64((1 << low) - 1)
+    occupied = np.zeros(1 << width, np.uint8)
+    occupied[quotients.astype(np.int64)] = 1
     ends = np.append(quotients[1:] != quotients[:-1], True)
-    if sparse:  # runs lie far apart: their quotients are cheaper as a list than as bits
-        occupied = (quotients[ends] - first).astype(np.uint32).tobytes()
-    else:
-        bits = np.zeros(span, np.uint8)
-        bits[quotients - first] = 1
-        occupied = np.packbits(bits).tobytes()
     small = np.minimum(counts, 255).astype(np.uint8)
     parts = [
-        np.array([first, span, len(prints), int(sparse), len(occupied)], np.int64).tobytes(),
-        occupied,
+        _HEAD.pack(int(prints[0]) >> (64 - top), n, top, width),
+        np.packbits(occupied).tobytes(),
         np.packbits(ends).tobytes(),
-        prints.astype(np.uint32).tobytes(),
+        np.ascontiguousarray(remainders.astype("<u8").view(np.uint8).reshape(n, 8)[:, : (low + 7) // 8]).tobytes(),
         small.tobytes(),
-        counts[small == 255].astype(np.int64).tobytes(),
+        counts[small == 255].astype("<i8").tobytes(),
     ]
     return b"".join(parts)
 
 
 def decode_filter(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    first, span, n, sparse, size = np.frombuffer(data, np.int64, 5).tolist()
-    at = 40
-    raw = np.frombuffer(data, np.uint8, size, at)
-    at += size
-    places = raw.view(np.uint32).astype(np.int64) if sparse else np.flatnonzero(np.unpackbits(raw, count=span))
-    ends = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n)
-    at += (n + 7) // 8
-    run = np.cumsum(ends) - ends
-    quotients = (first + places)[run].astype(np.uint64)
-    remainders = np.frombuffer(data, np.uint32, n, at).astype(np.uint64)
-    at += 4 * n
-    counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, np.int64, -1, at + n)
-    return quotients << np.uint64(REMAINDER_BITS) | remainders, counts
+    """Sorted fingerprints and counts."""
+    shared, n, top, width = _HEAD.unpack_from(data)
+    low, at = 64 - top - width, _HEAD.size
+
+    def take(size: int, of=np.uint8) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, of, size, at)
+        at += out.nbytes
+        return out
+
+    places = np.flatnonzero(np.unpackbits(take(((1 << width) + 7) // 8), count=1 << width)).astype(np.uint64)
+    ends = np.unpackbits(take((n + 7) // 8), count=n)
+    quotients = places[np.cumsum(ends, dtype=np.int64) - ends]
+    size = (low + 7) // 8
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :size] = take(n * size).reshape(n, size)
+    remainders = wide.view("<u8").ravel()
+    counts = take(n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", -1, at)
+    return np.uint64(shared << (64 - top) if top else 0) | quotients << np.uint64(low) | remainders, counts
 
 
 def merge_filters(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +91,15 @@ def merge_filters(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(batches):
-    """doc_id, key and text to the fingerprint, the SHA-256 and the packed bytes of the normalised text.
-
-    Packing is deterministic, so packed bytes are equal just when the normalised bytes are.
-    """
-    packer = zstandard.ZstdCompressor(level=1)
+    """doc_id, key and text to the fingerprint and the SHA-256 of the normalised text."""
     for batch in batches:
-        prints, hashes, packed = [], [], []
+        prints, hashes = [], []
         for value in batch.column("text").cast(pa.binary()).to_pylist():
             norm = value.lower()  # of bytes: A-Z only
-            prints.append(xxhash.xxh64_intdigest(norm))
+            prints.append(xxhash.xxh64_intdigest(norm, SEED))
             hashes.append(hashlib.sha256(norm).hexdigest())
-            packed.append(packer.compress(norm))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(hashes, pa.string()), pa.array(packed, pa.binary())],
-            names=["doc_id", "key", "print", "text_sha256", "packed"],
+            [batch.column("doc_id"), batch.column("key"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(hashes, pa.string())], names=["doc_id", "key", "print", "text_sha256"]
         )
 
 
@@ -106,10 +109,10 @@ def _slices(bits: int):
         if not found:
             return
         prints, counts = np.unique(np.concatenate(found), return_counts=True)
-        owner = prints >> np.uint64(64 - bits) if bits else np.zeros(len(prints), np.uint64)
+        owner = prints >> np.uint64(64 - bits)
         cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(prints) else []
         for a, b in zip(cuts, [*cuts[1:], len(prints)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([int(owner[a])], pa.int64()), pa.array([encode_filter(prints[a:b], counts[a:b])], pa.binary())], names=["slice", "filter"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(owner[a])], pa.int64()), pa.array([encode_filter(prints[a:b], counts[a:b], bits)], pa.binary())], names=["slice", "filter"])
 
     return build
 
@@ -135,27 +138,41 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     return merged.select("filters").mapInArrow(_repeated, "print long, n long")
 
 
+def normalised(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def equal_texts(docs: DataFrame, many: DataFrame) -> DataFrame:
+    """print, text_sha256, keep_id, group_size: the groups of two or more texts, equal byte by byte, among those whose
+    fingerprint is in ``many`` (print).
+
+    Texts are read again and grouped by their bytes, with partial sums, so that a hot text is a row a partition. Two
+    groups of one digest would be a collision of SHA-256; that is an error.
+    """
+    norm = normalised(filled())
+    again = docs.select("doc_id", F.xxhash64(norm).alias("print"), norm.alias("norm")).join(many, "print", "left_semi")
+    groups = again.groupBy("print", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    named = groups.select("print", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts have one digest")).cast("long")).otherwise(F.max("keep_id"))
+    return named.groupBy("print", "text_sha256").agg(one.alias("keep_id"), F.max("group_size").alias("group_size"))
+
+
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, key: one row for each row of ``docs`` (doc_id, text).
 
-    Texts are equal if their bytes are, after A-Z are lower-cased; a null text counts as empty. Of equal texts the row
-    with the largest doc_id stays. Rows without an id stay only where their group has no id at all (keep_id is null
-    there). Rows that repeat both id and text are one document, and are kept or not together. Other columns of the input
-    are not looked at, whatever their names. An empty input gives an empty result. ``key`` tells rows apart that have
-    one id but different texts.
+    Texts, of any length, are equal if their bytes are, after A-Z are lower-cased; a null text counts as empty. Of equal
+    texts the row with the largest doc_id stays. Rows without an id stay only where their group has no id at all
+    (keep_id is null there). Rows that repeat both id and text are one document, and are kept or not together. Other
+    columns of the input are not looked at, whatever their names. An empty input gives an empty result. ``key`` tells
+    rows apart that have one id but different texts.
     """
     rows = docs.select("doc_id", row_key().alias("key"), filled().alias("text"))
-    table = staged(rows.mapInArrow(_digests, "doc_id long, key long, print long, text_sha256 string, packed binary"), "digests")
-    many = staged(repeated_fingerprints(table, table.count()), "repeated").select("print")
-    verified = (
-        table.join(many, "print", "left_semi")
-        .groupBy("print", "packed")
-        .agg(F.first("text_sha256").alias("text_sha256"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .where("group_size > 1")
-        .select("text_sha256", "keep_id", "group_size")
-    )
-    groups = staged(verified, "groups")
-    out = table.select("doc_id", "key", "text_sha256").join(groups, "text_sha256", "left")
+    table = staged(rows.mapInArrow(_digests, "doc_id long, key long, print long, text_sha256 string"), "digests")
+    total = table.count()
+    many = staged(repeated_fingerprints(table, total), "repeated")
+    groups = staged(equal_texts(docs, many.select("print")), "groups")
+    discard(many)
+    out = join_by_size(table, groups, ["print", "text_sha256"], "group_size", total)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
@@ -169,13 +186,14 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``marks`` (doc_id, key) names."""
+    """``docs`` without the rows that ``marks`` (doc_id, key) names. Row by row, whatever their number; both may be empty."""
     gone = marks.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (row_key(docs["text"]) == gone["_gone_key"]), "left_anti")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row for each group of equal texts; rows that repeat id and text become one."""
+    """``docs``, all columns, with one row for each group of equal texts, as ``dedup_exact`` says; rows that repeat id and
+    text become one."""
     found = staged(dedup_exact(docs), "kept")
     again = staged(found.where("kept and group_size > 1").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "again")
     out = without(docs, found.where("not kept").select("doc_id", "key").union(again))
