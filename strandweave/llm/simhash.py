@@ -5,9 +5,12 @@ partitions get unequal thresholds t_i with sum(t_i + 1) = limit + 1, so that a l
 some partition i. Groupings and thresholds are chosen by dynamic programming on candidate counts, which are estimated
 from the bit statistics of all fingerprints. Probing takes, for each partition, its value with each choice of t_i bits
 blanked out: two values within t_i bits share one of these keys. Fingerprints that share a key are verified against each
-other, and what links is returned as a spanning forest, never as all pairs. A key with very many fingerprints is dealt
-out anew by all choices of ``limit`` blanked bits of the whole fingerprint, where at most 2 ** limit fingerprints share
-a key; so no group is collected that could grow with the data, and no link is lost.
+other, and what links is returned as a spanning forest, never as all pairs. A key with very many fingerprints is cut into
+blocks, and each two blocks are verified by a task of their own; so no group is collected that could grow with the data,
+and no link is lost.
+
+With wide limits, texts that have nothing in common meet by accident once there are billions. A second fingerprint of the
+same shingles, by other hashes, then takes part in the verification.
 """
 
 from __future__ import annotations
@@ -23,38 +26,60 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .exact_dedup import without
-from .shared import filled, row_key, staged
+from .shared import discard, filled, join_by_size, row_key, staged
 
 BITS = 64
-#: Fingerprints of one key that a task verifies against each other; keys with more are dealt out anew.
-GROUP_LIMIT = 2048
+#: Fingerprints of one key that a task verifies against each other; keys with more are cut into blocks of half as many.
+GROUP_LIMIT = 1 << 16
+#: Partitions beyond limit + 1 that are tried, which leave some without a key.
+SPARE_PARTS = 1
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
 
-def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
-    """SimHash of a text's word shingles; 0 for a text without words."""
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+
+
+def _other(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of hashes, as if by another seed."""
+    h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(text: bytes, size: int = 3, seed: int = 42, second: bool = False) -> tuple[int, int]:
+    """SimHash of a text's word shingles, and a second one if asked for; 0 for a text without words."""
     words = text.lower().split()  # bytes: lower-cases A-Z, splits at 20 and 09-0D
     if not words:
-        return 0
+        return 0, 0
     if len(words) < size:
         words = [b" ".join(words)]
         size = 1
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    ones, n = np.zeros(BITS, np.int64), len(words) - size + 1
+    ones, others, n = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64), len(words) - size + 1
     for start in range(0, n, BLOCK):
         part = words[start : start + BLOCK + size - 1]
         grams = map(join, zip(*(part[i:] for i in range(size)), strict=False)) if size > 1 else part
         hashes = np.array([digest(g, seed) for g in grams], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        ones += _majority(hashes)
+        if second:
+            others += _majority(_other(hashes))
+    packed = lambda x: int.from_bytes(np.packbits(2 * x > n, bitorder="little").tobytes(), "little")
+    return packed(ones), packed(others)
 
 
-def _fingerprints(size: int):
+def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
+    return fingerprints(text, size, seed)[0]
+
+
+def _fingerprints(size: int, second: bool):
     def run(batches):
         for batch in batches:
-            prints = [fingerprint(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "key", "fp"])
+            prints = np.array([fingerprints(t, size, second=second) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            fp, other = (pa.array(np.ascontiguousarray(prints[:, i])) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), fp, other], names=["doc_id", "key", "fp", "other"])
 
     return run
 
@@ -151,19 +176,19 @@ def probe_masks(n: int, both: np.ndarray, limit: int) -> list[int]:
     """The bits that each key keeps, for the cheapest grouping and thresholds at this many fingerprints."""
     pair, correlation = _agreement(n, both)
     chosen = (inf, [], [])
-    for parts in range(1, limit + 2):
+    for parts in range(1, limit + 2 + SPARE_PARTS):
         groups = group_bits(correlation, parts)
         costs = []
         for bits in groups:
             near = within(pair, bits, limit)
             # a key costs about as much to shuffle as a few comparisons
-            costs.append([0.0, *(4.0 * n * comb(len(bits), t) + n * n / 2 * near[t] for t in range(limit + 1))])
+            costs.append([0.0, *(4.0 * n * comb(len(bits), min(t, len(bits))) + n * n / 2 * near[t] for t in range(limit + 1))])
         cost, thresholds = allocate(costs, limit + 1)
         if cost < chosen[0]:
             chosen = (cost, groups, thresholds)
     masks = []
     for bits, t in zip(*chosen[1:], strict=True):
-        for gone in combinations(bits, t) if t >= 0 else ():
+        for gone in combinations(bits, min(t, len(bits))) if t >= 0 else ():
             masks.append(sum(1 << b for b in bits if b not in gone))
     return masks
 
@@ -173,18 +198,20 @@ def _signed(mask: int) -> int:
 
 
 def _keys(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """fp, probe, value: one row for each fingerprint and mask."""
+    """fp, other, probe, value: one row for each fingerprint and mask."""
     kept = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    spread = fps.select("fp", F.posexplode(kept).alias("probe", "mask"))
-    return spread.select("fp", "probe", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+    spread = fps.select("fp", "other", F.posexplode(kept).alias("probe", "mask"))
+    return spread.select("fp", "other", "probe", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
 
 
-def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges that connect what links among these distinct fingerprints, at most one less than there are."""
-    n = len(fps)
-    order = np.argsort(fps)
-    fps = fps[order]
-    root = np.arange(n)
+def forest(fps: np.ndarray, limit: int, others: np.ndarray | None = None, total: int = 2 * BITS) -> list[tuple[int, int]]:
+    """Edges that connect what links among these distinct fingerprints, at most one less than there are.
+
+    Links are at most ``limit`` bits of ``fps`` and, with ``others``, ``total`` bits of both. Fingerprints are joined to
+    a few pivots first; what these gather is one component, within which nothing is left to find out. Only the others
+    are compared with all.
+    """
+    n, root, edges = len(fps), np.arange(len(fps)), []
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -192,66 +219,100 @@ def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    edges = []
-    for start in range(0, n, 256):
-        block = fps[start : start + 256]
-        near = np.bitwise_count(block[:, None] ^ fps[None, start:]) <= limit
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = top(start + int(i)), top(start + int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((int(fps[start + i]), int(fps[start + j])))
+    def near(block: np.ndarray) -> np.ndarray:
+        away = np.bitwise_count(fps[block, None] ^ fps[None])
+        linked = away <= limit
+        return linked if others is None else linked & (away + np.bitwise_count(others[block, None] ^ others[None]) <= total)
+
+    def join(i: int, j: int) -> None:
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            edges.append((int(fps[i]), int(fps[j])))
+
+    pivots = 16 if n > 512 else 0
+    alone = np.arange(n)
+    for _ in range(pivots):
+        if not len(alone):
+            break
+        pivot = alone[len(alone) // 2]
+        for j in np.flatnonzero(near(np.array([pivot]))[0]):
+            join(int(pivot), int(j))
+        tops = np.array([top(i) for i in range(n)])
+        values, sizes = np.unique(tops, return_counts=True)
+        alone = np.flatnonzero(tops != values[np.argmax(sizes)])
+    step = max(1, (1 << 22) // max(n, 1))
+    for start in range(0, len(alone), step):
+        block = alone[start : start + step]
+        for i, j in zip(*np.nonzero(near(block)), strict=True):
+            if block[i] != j:
+                join(int(block[i]), int(j))
     return edges
 
 
-def _verify(limit: int):
+def _verify(limit: int, total: int | None):
     def run(batches):
         for batch in batches:
-            found = [e for group in batch.column("fps") for e in forest(np.unique(group.values.to_numpy().view(np.uint64)), limit)]
+            found = []
+            for group in batch.column("found"):
+                fps, others = (group.values.field(c).to_numpy().view(np.uint64) for c in ("fp", "other"))
+                fps, first = np.unique(fps, return_index=True)
+                found += forest(fps, limit) if total is None else forest(fps, limit, others[first], total)
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, limit: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """a, b: edges that connect all fingerprints within ``limit`` bits of each other. ``fps``: distinct column ``fp``."""
+def links(fps: DataFrame, limit: int = 2, group_limit: int = GROUP_LIMIT, total: int | None = None) -> DataFrame:
+    """a, b: edges that connect all fingerprints within ``limit`` bits of each other and, if ``total`` is given, within
+    ``total`` bits of both fingerprints. ``fps``: columns fp, which is distinct, and other. Empty without any."""
     n, both = bit_statistics(fps)
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    keys = _keys(fps, probe_masks(n, both, limit))
-    shared = staged(keys.groupBy("probe", "value").agg(F.count("*").alias("n")).where("n > 1"), "probes")
-    met = keys.join(shared, ["probe", "value"])
-    small = met.where(F.col("n") <= group_limit).groupBy("probe", "value").agg(F.collect_list("fp").alias("fps")).select("fps")
-    hot = met.where(F.col("n") > group_limit).select("fp").distinct()
-    everything = (1 << BITS) - 1
-    blanked = [everything & ~sum(1 << b for b in gone) for gone in combinations(range(BITS), limit)]
-    again = _keys(hot, blanked).groupBy("probe", "value").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    return small.mapInArrow(_verify(limit), "a long, b long").union(again.mapInArrow(_verify(limit), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, limit: int = 2, size: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    masks = probe_masks(n, both, limit)
+    keys = _keys(fps, masks)
+    gathered = F.collect_list(F.struct("fp", "other")).alias("found")
+    verify = _verify(limit, total)
+    crowded = staged(keys.groupBy("probe", "value").agg(F.count("*").alias("n")).where(F.col("n") > group_limit), "crowded")
+    if crowded.isEmpty():
+        small = keys.groupBy("probe", "value").agg(gathered).where(F.size("found") > 1).select("found")
+        return small.mapInArrow(verify, "a long, b long")
+    met = join_by_size(keys, crowded, ["probe", "value"], "n", n * len(masks))
+    small = met.where("n is null").groupBy("probe", "value").agg(gathered).where(F.size("found") > 1).select("found")
+    # each two blocks meet in one group
+    hot = met.where("n is not null").withColumn("blocks", F.ceil(F.col("n") * 2 / group_limit).cast("int"))
+    paired = hot.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own != peer")
+    large = paired.groupBy("probe", "value", F.least("own", "peer").alias("low"), F.greatest("own", "peer").alias("high")).agg(gathered).select("found")
+    return small.mapInArrow(verify, "a long, b long").union(large.mapInArrow(verify, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, limit: int = 2, size: int = 3, group_limit: int = GROUP_LIMIT, total: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id, key: one row for each row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id that can be reached over links of at most ``limit`` differing bits, the row's own
-    included; it is null where no row of the component has an id. Null texts count as empty; texts without words have
-    fingerprint 0 and link like any other. Repeated rows get the same values. An empty input gives an empty result.
+    component_id is the smallest doc_id that can be reached over links of at most ``limit`` differing bits (and, if
+    ``total`` is given, of at most so many of the 128 bits of two fingerprints), the row's own included; it is null where
+    no row of the component has an id. Null texts count as empty; texts without words have fingerprint 0 and link like
+    any other; long texts are hashed in blocks. Repeated rows get the same values. An empty input gives an empty result.
     Further columns, whatever their names, are not looked at. ``key`` tells rows apart that have one id but other texts.
     """
     rows = docs.select("doc_id", row_key().alias("key"), filled().alias("text"))
-    table = staged(rows.mapInArrow(_fingerprints(size), "doc_id long, key long, fp long"), "fingerprints")
-    fps = staged(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected(staged(links(fps.select("fp"), limit, group_limit), "links"))
-    joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    table = staged(rows.mapInArrow(_fingerprints(size, total is not None), "doc_id long, key long, fp long, other long"), "fingerprints")
+    found = table.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("other").alias("other"))
+    fps = staged(found, "distinct")
+    edges = staged(links(fps.select("fp", "other"), limit, group_limit, total), "links")
+    roots = connected(edges)
+    joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     labels = staged(joined, "roots")
-    first = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = staged(labels.join(first, "root").select("fp", "component_id"), "components")
-    out = table.join(named, "fp")
+    sizes = labels.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    named = staged(join_by_size(labels, sizes, ["root"], "members", labels.count()).select("fp", "n", "component_id"), "components")
+    discard(fps, edges, labels)
+    out = join_by_size(table, named, ["fp"], "n", table.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key")
 
 
-def keep_one(docs: DataFrame, limit: int = 2, size: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, limit: int = 2, size: int = 3, total: int | None = None) -> DataFrame:
     """``docs``, all columns, with the row of the smallest doc_id of each component. Rows without an id stay only in
     components that have no id at all."""
-    found = near_duplicates(docs, limit, size)
+    found = near_duplicates(docs, limit, size, total=total)
     return without(docs, staged(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key"), "near"))
