@@ -115,7 +115,7 @@ def read_record(bundle: str, frame: int, record_offset: int) -> dict:
         return parse(read_frame(stream, seek_table(stream), frame), record_offset)[0]
 
 
-def _write(folder: str):
+def _write(folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES):
     def run(batches):
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -154,9 +154,9 @@ def _write(folder: str):
                 waiting.append((page_id, size, len(data)))
                 buffer.append(data)
                 size += len(data)
-                if size >= FRAME_BYTES:
+                if size >= frame_bytes:
                     flush()
-                    if writer.written >= BUNDLE_BYTES:
+                    if writer.written >= bundle_bytes:
                         yield from finish()
         yield from finish()
 
@@ -176,7 +176,8 @@ def revisits(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html) and returns the index, a table of INDEX_SCHEMA.
 
-    Null html is an empty payload. Of equal payloads of LEAST_REVISIT bytes or more, the row of the smallest page_id is a
+    Null html is an empty payload, of any length that fits a row: a longer text than FRAME_BYTES is a frame of its own.
+    Further columns, whatever their names, are not looked at. Of equal payloads of LEAST_REVISIT bytes or more, the row of the smallest page_id is a
     response and the others refer to it; rows that repeat that page_id are responses too. No pages give an empty index.
     Pages are written where they are read: they are joined to the revisits, which are a fraction of them, and Spark
     broadcasts these only if they are small. The folder is one that all executors share.
@@ -212,7 +213,10 @@ def _read(payloads: bool):
 
 
 def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records, of RECORD_SCHEMA, of the bundles that an index names, a bundle at a time and frame by frame. The
-    payload of a revisit, and without ``payloads`` of any record, is null; lengths and digests are always given."""
-    bundles = index.select("bundle").distinct().repartition("bundle")
+    """All records, of RECORD_SCHEMA, of the bundles that an index names: in as many tasks as there are bundles, each read
+    frame by frame. The payload of a revisit, and without ``payloads`` of any record, is null; lengths and digests are
+    always given. An empty index gives no records."""
+    bundles = index.select("bundle").distinct()
+    # a given number keeps these few short rows from being merged into one task: each is a whole archive
+    bundles = bundles.repartition(max(bundles.count(), 1), F.xxhash64("bundle"))
     return bundles.mapInArrow(_read(payloads), RECORD_SCHEMA)
