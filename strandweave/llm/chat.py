@@ -1,8 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
-Messages point to the message that they answer. Self-joins that double their reach in each round find every leaf's path
-to its root; branches are ranked by the mean score of their messages, and each chosen path becomes one conversation in
-the template: ``<|turn|>role<|body|>text<|end|>`` for each turn.
+Messages point to the message that they answer. Self-joins that double their reach in each round find how far each
+message is from its root, and the sum of the scores on the way; leaves are ranked by the mean score of their messages.
+Only the paths of chosen leaves are then expanded, by the same doubled steps, and each becomes one conversation in the
+template: ``<|turn|>role<|body|>text<|end|>`` for each turn.
 """
 
 from __future__ import annotations
@@ -28,72 +29,103 @@ def unescape(text: Column) -> Column:
 
 def from_turns(turns: DataFrame) -> DataFrame:
     """tree, id, parent, role, text, score of linear conversations (conv_id, turn, role, text): each row answers the row
-    before it. Rows are in the order of turn, nulls first; rows of one turn in that of role and text."""
+    before it. Rows are in the order of turn, nulls first; rows of one turn in that of role and text. Repeated rows are
+    turns of their own; an empty table gives none."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("id", F.row_number().over(order).cast("long"))
     parent = F.when(F.col("id") > 1, F.col("id") - 1)
     return rows.select(F.col("conv_id").alias("tree"), "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def root_paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, node, height: each leaf's path, from the leaf (height 0) up to its root.
+def _far(step: DataFrame, *more: str) -> DataFrame:
+    return step.where("up is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in more])
 
-    ``messages`` has tree, id, parent; ids are unique in a tree. A parent that doesn't exist makes a root. Messages that
-    never reach a root, as they run into a cycle, are on no path. All joins are on (tree, id), which no skew touches;
-    their number grows with the logarithm of the deepest path.
+
+def _at(left: DataFrame, column: str) -> Column:
+    return left["tree"].eqNullSafe(F.col("_tree")) & (left[column] == F.col("_id"))
+
+
+def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """steps[k] (tree, id, up): the message 2 ** k above each; and leaves (tree, leaf, length, total): the messages that
+    none answers, with the messages and the sum of scores from the root to them.
+
+    ``messages`` has tree, id, parent, score. Of rows that repeat a tree and id, one counts: that of the smallest
+    parent, then of the smallest score. A parent that doesn't exist makes a root. Messages that never reach a root, as they run into a cycle,
+    have no leaf. All joins are on (tree, id), which no skew touches; their number grows with the logarithm of the
+    deepest path.
     """
-    ids = staged(messages.select("tree", "id", "parent").where("id is not null"), "messages")
+    first = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("first")
+    ids = staged(messages.where("id is not null").groupBy("tree", "id").agg(first).select("tree", "id", "first.*"), "messages")
     known = ids.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"))
-    on = lambda left, at: left["tree"].eqNullSafe(F.col("_tree")) & (left[at] == F.col("_id"))
-    up = ids.join(known, on(ids, "parent"), "left").select("tree", "id", F.col("_id").alias("up"))
+    up = ids.join(known, _at(ids, "parent"), "left").select("tree", "id", F.col("_id").alias("up"), "score")
     parents = staged(up, "parents")
-    steps, jump, rows = [parents], parents, None
-    while True:  # steps[k]: from each message to that 2 ** k above it, null beyond the root
+    answered = parents.where("up is not null").select(F.col("tree").alias("_tree"), F.col("up").alias("_id")).distinct()
+    steps = [parents.select("tree", "id", "up")]
+    # length and total: of the messages from each one up to, not including, the one that ``up`` names
+    jump = parents.select("tree", "id", "up", F.lit(1).cast("long").alias("length"), F.col("score").alias("total"))
+    rows, extent = None, 1
+    while True:
         reached = jump.agg(F.count("*"), F.count("up")).first()
         rows = reached[0] if rows is None else rows
-        if not reached[1] or 1 << (len(steps) - 1) > rows:
+        if not reached[1] or extent > rows:
             break
-        far = jump.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"))
-        jump = staged(jump.where("up is not null").join(far, on(jump, "up")).select("tree", "id", F.col("_up").alias("up")), "jump")
-        steps.append(jump)
-    circling = steps[-1].where("up is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"))
-    answered = parents.where("up is not null").select(F.col("tree").alias("_tree"), F.col("up").alias("_id")).distinct()
-    leaves = parents.join(answered, on(parents, "id"), "left_anti")
-    leaves = leaves.join(circling, on(leaves, "id"), "left_anti") if reached[1] else leaves
-    paths = leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).cast("long").alias("height"))
-    for k, step in enumerate(steps[:-1] if len(steps) > 1 else []):
-        far = step.where("up is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"))
-        more = paths.join(far, on(paths, "node")).select("tree", "leaf", F.col("_up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
-        paths = staged(paths.union(more), "paths")
-    paths = staged(paths, "paths") if len(steps) < 2 else paths
-    discard(ids, *steps)
-    return paths
+        beyond = jump.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("length").alias("_length"), F.col("total").alias("_total"))
+        further = jump.join(beyond, _at(jump, "up"), "left")
+        extent *= 2
+        add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        jump = staged(further.select("tree", "id", F.col("_up").alias("up"), add("length"), add("total")), "jump")
+        steps.append(jump.select("tree", "id", "up"))
+    ended = jump.where("up is null")  # those that circle never end
+    leaves = ended.join(answered, _at(ended, "id"), "left_anti").select("tree", F.col("id").alias("leaf"), "length", "total")
+    out = staged(leaves, "leaves")
+    discard(ids)
+    return steps, out
+
+
+def choose_leaves(leaves: DataFrame, top: int | None) -> DataFrame:
+    """``leaves`` with branch_score and branch_rank: the ``top`` ones of each tree by mean score, then by the smaller id.
+
+    The best one is found with partial maxima; for more, each task drops what can't be among its tree's ``top``. If
+    ``top`` is None all leaves are taken and none is ranked, as a tree can have any number.
+    """
+    scored = leaves.withColumn("branch_score", F.col("total") / F.col("length"))
+    if top is None:
+        return scored.withColumn("branch_rank", F.lit(None).cast("int"))
+    if top == 1:
+        best = F.max(F.struct("branch_score", (-F.col("leaf")).alias("_low"), "leaf", "length", "total")).alias("best")
+        return scored.groupBy("tree").agg(best).select("tree", "best.leaf", "best.length", "best.total", "best.branch_score", F.lit(1).alias("branch_rank"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
+    return scored.withColumn("branch_rank", rank).where(F.col("branch_rank") <= top)
 
 
-def choose_branches(paths: DataFrame, messages: DataFrame, top: int | None) -> DataFrame:
-    """``paths`` of the ``top`` leaves of each tree (all, if None), with branch_rank: by mean score, nulls as 0, then by
-    the smaller leaf id."""
-    scores = messages.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = paths.join(scores, paths["tree"].eqNullSafe(F.col("_tree")) & (paths["node"] == F.col("_id")))
-    branches = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
-    ranked = branches.withColumn("branch_rank", rank)
-    ranked = ranked if top is None else ranked.where(F.col("branch_rank") <= top)
-    chosen = ranked.select(F.col("tree").alias("_tree"), F.col("leaf").alias("_leaf"), "branch_rank", "branch_score")
-    return paths.join(chosen, paths["tree"].eqNullSafe(F.col("_tree")) & (paths["leaf"] == F.col("_leaf"))).drop("_tree", "_leaf")
+def expand(steps: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """tree, leaf, branch_rank, node, height: each leaf's path, from the leaf (height 0) up to its root."""
+    paths = leaves.select("tree", "leaf", "branch_rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
+    for k, step in enumerate(steps[:-1]):  # the last one leads nowhere but in circles
+        more = paths.join(_far(step), _at(paths, "node")).select("tree", "leaf", "branch_rank", F.col("_up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
+        old, paths = paths, staged(paths.union(more), "paths")
+        if k:
+            discard(old)
+    return paths
 
 
 def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """tree, leaf, branch_rank, formatted, loss_spans: one row for each chosen branch.
 
     ``messages``: tree, id, parent, role, text, score. formatted holds the turns from the root on. loss_spans is an array
-    of (start, length) in code points of formatted: the bodies of the assistant's turns. A null role or text is empty; a
-    null tree is one tree of its own; rows with a null id are on no path. No messages give no rows.
+    of (start, length) in code points of formatted: the bodies of the assistant's turns. A null role or text is empty, a
+    null score 0; a null tree is one tree of its own; rows with a null id are on no path. Of rows that repeat a tree and
+    id, one counts, as ``climb`` and the smallest role and text say. Ties of scores go to the smaller leaf. No messages
+    give no rows. Further columns, whatever their names, are not looked at. Texts are of any length that fits a row
+    together with the others of their path. branch_rank is null if ``top`` is.
     """
-    chosen = choose_branches(root_paths(messages), messages, top)
+    messages = messages.select("tree", "id", "parent", "role", "text", "score")
+    steps, leaves = climb(messages)
+    chosen = expand(steps, staged(choose_leaves(leaves, top), "chosen"))
+    discard(*steps, leaves)
     turn = F.concat(F.lit(TURN), escape(F.coalesce("role", F.lit(""))), F.lit(BODY))
     body = escape(filled())
-    said = messages.select(
+    said = messages.where("id is not null").groupBy("tree", "id").agg(F.min(F.struct("role", "text")).alias("one")).select("tree", "id", "one.*").select(
         F.col("tree").alias("_tree"), F.col("id").alias("_id"), turn.alias("head"), body.alias("body"), F.col("role").eqNullSafe(F.lit(TRAINED_ROLE)).alias("trained")
     )
     lines = chosen.join(said, chosen["tree"].eqNullSafe(F.col("_tree")) & (chosen["node"] == F.col("_id")))
