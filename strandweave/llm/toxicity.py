@@ -27,8 +27,6 @@ from .shared import filled, staged
 SAMPLE_ROWS = 20_000
 #: Entries need this share of the distinct toxic texts, and these at least.
 LEAST_SHARE, LEAST_TEXTS = 0.01, 3
-#: Candidate features, lexicon entries and exception phrases that are kept at most, the best first.
-MOST_CANDIDATES, MOST_ENTRIES, MOST_EXCEPTIONS = 40_000, 2000, 1000
 #: Least log-odds of an entry.
 LEAST_WEIGHT = 3.0
 STEM_LENGTHS = range(4, 9)
@@ -157,7 +155,7 @@ def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
         elif toxic[f] >= 0.98 * toxic[shorter] and good[f] >= out[shorter]:
             del out[shorter]
             out[f] = good[f]
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+    return out
 
 
 def _phrases(lexicon: Lexicon):
@@ -168,11 +166,15 @@ def _phrases(lexicon: Lexicon):
         for start, end, _ in lexicon.matches(folded):
             while end < len(folded) and folded[end].isalnum():
                 end += 1
-            before, after = re.search(r"[^\W_]+ $", folded[max(0, start - 40) : start]), re.match(r" [^\W_]+", folded[end : end + 40])
-            if before:
-                out.add(before[0] + folded[start:end])
-            if after:
-                out.add(folded[start:end] + after[0])
+            low, high = start - 1, end + 1
+            while low > 0 and folded[low - 1].isalnum():
+                low -= 1
+            while high < len(folded) and folded[high].isalnum():
+                high += 1
+            if start > 1 and folded[start - 1] == " " and low < start - 1:
+                out.add(folded[low:end])
+            if folded[end : end + 1] == " " and high > end + 1:
+                out.add(folded[start:high])
         return out
 
     return of
@@ -204,7 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of rows that aren't held out.
 
     At most ``sample_rows`` labelled ids are used, those of the smallest hashes; being so few, they are broadcast. Equal
-    texts count once. ``exceptions`` are phrases to add to the learnt ones. Without toxic rows the lexicon is empty.
+    texts count once. Features that reach the driver are in LEAST_SHARE of the toxic texts, so there are at most
+    1 / LEAST_SHARE times those of one text; exception phrases, matches with a word beside, are in LEAST_TEXTS of the
+    sample's. ``exceptions`` are phrases to add to the learnt ones. Without toxic rows the lexicon is empty.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
@@ -213,11 +217,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     sizes = dict(train.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic))
-    toxic = dict(_count(train, features, 1).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MOST_CANDIDATES).collect())
+    toxic = dict(_count(train, features, 1).where(F.col("n") >= least).collect())
     clean = dict(_count(train, features, 0, frozenset(toxic)).collect()) if toxic else {}
     lexicon = Lexicon(choose_entries(toxic, clean, n_toxic, n_clean))
     if lexicon.entries:
-        in_clean = _count(train, _phrases(lexicon), 0).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "feature").limit(MOST_EXCEPTIONS).collect()
+        in_clean = _count(train, _phrases(lexicon), 0).where(F.col("n") >= LEAST_TEXTS).orderBy("feature").collect()
         if in_clean:
             in_toxic = dict(_count(train, _phrases(lexicon), 1, frozenset(f for f, _ in in_clean)).collect())
             lexicon.exceptions = [f for f, n in in_clean if n >= 4 * in_toxic.get(f, 0)]
@@ -248,8 +252,10 @@ def scorer(lexicon: Lexicon):
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs`` (doc_id, text).
 
-    The score looks at the whole text and nothing else. A null text counts as empty and gets the score of a text without
-    matches. Repeated rows get equal scores; further columns, whatever their names, are not looked at.
+    The score looks at the whole text, however long, and nothing else. A null text counts as empty and gets the score of
+    a text without matches. Repeated rows get equal scores; further columns, whatever their names, are not looked at. An
+    empty table gives an empty result; without labels all scores are those of an empty lexicon. Labels that disagree on
+    one text make it toxic.
     """
     lexicon = learn(docs, labels, sample_rows)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(lexicon)(filled()).alias("score"))
