@@ -1,7 +1,7 @@
 """Quality rules with DataFrame functions only: figures of each text, and line frequency across a host's documents.
 
 Lines are normalised and hashed together with their host; the distinct documents that hold a line are counted, lines
-above the limit are removed, and a document that little is left of is rejected.
+above the host's limit are removed, and a document that little is left of is rejected.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filled, staged
+from .shared import discard, filled, join_by_size, staged
 
-#: A line in more distinct documents of its host than this is boilerplate.
-LINE_LIMIT = 50
+#: A line in more than this share of its host's distinct documents, and in more documents than this, is boilerplate.
+LINE_SHARE, LINE_DOCS = 0.05, 5
+#: Rows that each host's size is repeated in, so that no task has all lines of one host.
+SALTS = 32
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 LEAST_WORDS, LEAST_SHARE = 20, 0.4
 #: Words of the windows that are looked for twice.
@@ -46,10 +48,10 @@ def repeated_words(windows: Column) -> Column:
     return covered[0]
 
 
-def text_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, row: of each whole text."""
+def text_figures(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, row: of each whole text; and ``more``."""
     # each select makes an array that the next one refers to several times, so that it is computed once
-    tokens = docs.select("doc_id", filled().alias("text"), row_of().alias("row"), words(filled()).alias("tokens"))
+    tokens = docs.select("doc_id", filled().alias("text"), row_of().alias("row"), words(filled()).alias("tokens"), *more)
     n = F.size("tokens")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
     figures = tokens.select(
@@ -61,6 +63,7 @@ def text_figures(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.when(n > WINDOW, F.transform("tokens", lambda w: F.xxhash64(w))).alias("hashes"),
+        *more,
     )
     first = figures.withColumn("windows", F.when(F.col("n_words") > WINDOW, window_hashes(F.col("hashes"), F.size("hashes"))))
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -73,6 +76,7 @@ def text_figures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(twice, repeated_words(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         "row",
+        *more,
     )
 
 
@@ -87,20 +91,38 @@ def normal_line(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """row, at, line, n: each line with a word; ``line`` hashes host and normalised line, ``n`` counts its words."""
+    """host, row, at, line, n: each line with a word; ``line`` hashes host and normalised line, ``n`` counts its words."""
     # the text is hashed and left behind before its lines are spread
     split = docs.select("source", row_of().alias("row"), F.split(filled(), "\n").alias("raws")).select("source", "row", F.posexplode("raws").alias("at", "raw")).where(F.col("raw").rlike(_WORD))
     normal = split.select("source", "row", "at", normal_line(F.col("raw")).alias("normal"))
     spaces = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit("")))
-    return normal.select("row", "at", F.xxhash64("source", "normal").alias("line"), (spaces + 1).alias("n"))
+    return normal.select(F.xxhash64("source").alias("host"), "row", "at", F.xxhash64("source", "normal").alias("line"), (spaces + 1).alias("n"))
 
 
-def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """line: in more than ``limit`` distinct documents of its host. Copies of one text count once.
+def frequent_lines(lines: DataFrame, share: float, docs: int) -> DataFrame:
+    """line, rows: in more distinct documents of its host than ``docs`` and than ``share`` of all that have a line, and
+    how many rows of ``lines`` hold it. Copies of one text count once.
 
-    The first aggregation is by line and document, which a common line can't make uneven; the second adds partial counts.
+    The first aggregation is by line and document, which a common line can't make uneven; the others add partial counts.
     """
-    return lines.select("line", "row").distinct().groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") > limit).select("line")
+    held = lines.groupBy("host", "line", "row").agg(F.count("*").alias("rows"))
+    common = held.groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows")).where(F.col("docs") > docs)
+    sizes = lines.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = common.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    return salted.join(sizes, ["host", "salt"]).where(F.col("docs") > F.col("size") * F.lit(share)).select("line", "rows")
+
+
+def removals(docs: DataFrame, share: float, least_docs: int) -> DataFrame:
+    """row, frequent, n_removed, copies: of each text that loses lines their places and how many words they have, and how
+    many rows of ``docs`` hold the text. A stored table."""
+    lines = staged(document_lines(docs), "lines")
+    frequent = staged(frequent_lines(lines, share, least_docs), "frequent")
+    hits = join_by_size(lines, frequent, ["line"], "rows", lines.count(), how="inner")
+    places = hits.groupBy("row", "at").agg(F.first("n").alias("n"), F.count("*").alias("copies"))  # copies of a text are one row
+    out = staged(places.groupBy("row").agg(F.collect_set("at").alias("frequent"), F.sum("n").alias("n_removed"), F.max("copies").alias("copies")), "removals")
+    discard(lines, frequent)
+    return out
 
 
 def stripped(text: Column, frequent: Column) -> Column:
@@ -108,40 +130,53 @@ def stripped(text: Column, frequent: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(frequent, i)), "\n")
 
 
-def cleaned(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The columns of ``judge``, and text: without its frequent lines, the other lines in order, of kept rows or not."""
-    base = docs.select("doc_id", "text", "source")
-    lines = document_lines(base)
-    frequent = staged(frequent_lines(lines, limit), "lines")
-    hits = lines.join(frequent, "line").groupBy("row").agg(F.collect_set("at").alias("frequent"))  # copies of a text are one row
-    figures = text_figures(base).join(staged(hits, "removed"), "row", "left")
-    rest = figures.withColumn("rest", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(stripped(F.col("text"), F.col("frequent"))))
-    left = rest.withColumn("left", F.when(F.col("frequent").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("rest")))).cast("long"))
+def _verdict(figures: DataFrame, left: Column, least_words: int, least_share: float, *more: str) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    removed = F.col("n_words") - F.col("left")
-    whole = removed == 0
-    return left.select(
-        "doc_id", F.col("rest").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (whole | (F.col("left") >= least_words) & (F.col("left") >= least_share * F.col("n_words")))).alias("kept"), removed.alias("n_removed_words"),
+    rest = figures.withColumn("left", left.cast("long")).withColumn("failed", failed)
+    whole = F.col("left") == F.col("n_words")
+    kept = ~F.col("failed") & (whole | (F.col("left") >= least_words) & (F.col("left") >= least_share * F.col("n_words")))
+    return rest.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), kept.alias("kept"),
+        (F.col("n_words") - F.col("left")).alias("n_removed_words"), *more,
     )
 
 
-def clean(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, text: the texts that are kept, without their frequent lines. Texts that fail or are depleted are left out."""
-    return cleaned(docs, limit, least_words, least_share).where("kept").select("doc_id", "text")
+def cleaned(docs: DataFrame, share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The columns of ``judge``, and text: without its frequent lines, the other lines in order, of kept rows or not.
+
+    Words are counted on what is left. Texts meet their frequent lines by a hash of text and host; only texts held by very
+    many rows are matched by broadcast."""
+    base = docs.select("doc_id", "text", "source")
+    removed = removals(base, share, least_docs)
+    marked = join_by_size(base.withColumn("row", row_of()), removed, ["row"], "copies", base.count())
+    rest = F.when(F.col("frequent").isNull(), filled()).otherwise(stripped(filled(), F.col("frequent")))
+    figures = text_figures(marked.withColumn("rest", rest), "rest", "frequent")
+    left = F.when(F.col("frequent").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("rest"))))
+    return _verdict(figures, left, least_words, least_share, "rest").withColumnRenamed("rest", "text")
+
+
+def clean(docs: DataFrame, share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, text: the texts that are kept, without their frequent lines. Texts that fail or are depleted are left out,
+    so an empty table stays empty; null and empty texts fail. Else as ``judge``."""
+    return cleaned(docs, share, least_docs, least_words, least_share).where("kept").select("doc_id", "text")
 
 
-def judge(docs: DataFrame, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
 
-    One row for each row of ``docs`` (doc_id, text, source; the source is the host). A null text is empty and fails; a
-    null source is a host of its own; ids play no part, and repeated rows get equal values. Further columns, whatever
-    their names, are not looked at. What is removed is counted on the texts of ``cleaned``.
+    One row for each row of ``docs`` (doc_id, text, source; the source is the host), none for an empty table. A null text
+    is empty and fails; a null source is a host of its own; texts are read whole, however long; ids play no part, and
+    repeated rows get equal values. Further columns, whatever their names, are not looked at. The words of the lines that
+    ``cleaned`` takes out are added up, as they are just those that a text loses; so no text is shuffled.
     """
-    return cleaned(docs, limit, least_words, least_share).drop("text")
+    base = docs.select("doc_id", "text", "source")
+    figures = staged(text_figures(base).drop("text"), "figures")
+    removed = removals(base, share, least_docs)
+    marked = join_by_size(figures, removed.drop("frequent"), ["row"], "copies", figures.count())
+    return _verdict(marked, F.col("n_words") - F.coalesce("n_removed", F.lit(0)), least_words, least_share)
 
 
-def judge_sql(limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> str:
+def judge_sql(share: float = LINE_SHARE, least_docs: int = LINE_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> str:
     """DuckDB SQL for ``judge`` over the view documents."""
     space = r"[\x20\x09-\x0D]+"
     return rf"""
@@ -156,7 +191,8 @@ twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, wi
 covered AS (SELECT rid, count(DISTINCT p + j) AS n FROM twice, (SELECT unnest(range({WINDOW})) AS j) GROUP BY rid),
 normal AS (SELECT rid, source, text, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '{space}', ' ', 'g')) AS line
   FROM (SELECT rid, source, text, unnest(lines) AS l FROM split)),
-frequent AS (SELECT source, line FROM normal GROUP BY source, line HAVING count(DISTINCT text) > {limit}),
+hosts AS (SELECT source, count(DISTINCT text) AS size FROM normal GROUP BY source),
+frequent AS (SELECT source, line FROM normal JOIN hosts USING (source) GROUP BY source, line, size HAVING count(DISTINCT text) > {least_docs} AND count(DISTINCT text) > size * {share!r}::DOUBLE),
 removed AS (SELECT rid, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS n FROM normal SEMI JOIN frequent USING (source, line) GROUP BY rid),
 figures AS (SELECT b.*, coalesce(c.n, 0) AS n_repeat_words, coalesce(r.n, 0) AS n_removed_words FROM base b LEFT JOIN covered c USING (rid) LEFT JOIN removed r USING (rid)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures)
