@@ -67,17 +67,33 @@ def test_exact_dedup(spark, odd, empty):
 
 def test_filters_merge_losslessly():
     r = np.random.default_rng(1)
-    for spread in (1 << 20, 1 << 63):
-        parts = [np.unique(r.integers(0, spread, 500, dtype=np.uint64), return_counts=True) for _ in range(5)]
+    for top, n in ((0, 500), (6, 500), (6, 1), (20, 3), (3, 20_000)):
+        shared = np.uint64(r.integers(0, 1 << top) << (64 - top)) if top else np.uint64(0)
+        pool = r.integers(0, 1 << (63 - top), 2 * n, dtype=np.uint64) | shared
+        parts = [np.unique(r.choice(pool, n), return_counts=True) for _ in range(5)]
         parts = [(p, c * r.integers(1, 900, len(c))) for p, c in parts]
         for p, c in parts:
-            back = exact_dedup.decode_filter(exact_dedup.encode_filter(p, c))
+            data = exact_dedup.encode_filter(p, c, top)
+            back = exact_dedup.decode_filter(data)
             assert (back[0] == p).all() and (back[1] == c).all()
+            width = data[13]
+            assert 0.45 < len(p) / 2**width <= 0.95 or len(p) == 1  # the quotient follows the number of entries
         want: Counter = Counter()
         for p, c in parts:
             want.update(dict(zip(p.tolist(), c.tolist(), strict=True)))
-        prints, counts = exact_dedup.merge_filters([exact_dedup.encode_filter(p, c) for p, c in parts])
-        assert dict(zip(prints.tolist(), counts.tolist(), strict=True)) == want
+        prints, counts = exact_dedup.merge_filters([exact_dedup.encode_filter(p, c, top) for p, c in parts])
+        assert dict(zip(prints.tolist(), counts.tolist(), strict=True)) == want and (np.diff(prints.astype(object)) > 0).all()
+
+
+def test_hot_groups_of_copies(spark):
+    rows = [(i, "Hot " + "x" * 50 if i % 3 == 0 else f"text {i % 200}", "a") for i in range(3000)] + [(5000 + i, f"single {i}", "b") for i in range(1500)]
+    got = {x.doc_id: x for x in exact_dedup.dedup_exact(docs_of(spark, rows)).collect()}
+    groups: dict = {}
+    for i, t, _ in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    assert len(got) == len(rows)
+    for ids in groups.values():
+        assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (max(ids), len(ids), i == max(ids)) for i in ids)
 
 
 def brute_fingerprint(text):
@@ -87,22 +103,72 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_simhash_links(spark, limit):
-    r = random.Random(2)
-    base = [r.getrandbits(64) for _ in range(30)]
-    prints = {b for x in base for b in (x, x ^ 1, x ^ 1 << r.randrange(64), x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64), x ^ 7)}
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    roots = dict(map(tuple, connected(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 2, limit)).collect()))
-    label = {p: p for p in signed}
+def components_of(prints, near):
+    label = {p: p for p in prints}
     changed = True
     while changed:
         changed = False
-        for a in signed:
-            for b in signed:
-                if label[b] < label[a] and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+        for a in prints:
+            for b in prints:
+                if label[b] < label[a] and near(a, b):
                     label[a], changed = label[b], True
-    assert {p: roots.get(p, p) for p in signed} == label
+    return label
+
+
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize(("limit", "most"), [(2, 1 << 16), (2, 4), (8, 1 << 16), (8, 20)])
+def test_simhash_links(spark, limit, most):
+    r = random.Random(2)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    base = [r.getrandbits(64) for _ in range(30)]
+    prints = sorted({signed(b) for x in base for b in (x, x ^ 1, flip(x, 1), flip(x, 2), flip(x, limit), flip(x, limit + 1), flip(x, 2 * limit))})
+    fps = spark.createDataFrame([(p, 0) for p in prints], "fp long, other long")
+    roots = dict(map(tuple, connected(simhash.links(fps, limit, most)).collect()))
+    assert {p: roots.get(p, p) for p in prints} == components_of(prints, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= limit)
+
+
+def test_second_fingerprint(spark):
+    r = random.Random(3)
+    rows = [(i * 0x9E3779B97F4A7C15 % (1 << 63), 0) for i in range(5)]
+    rows += [(fp ^ 3, other ^ x) for fp, other in rows for x in (1, (1 << 20) - 1)][:9]
+    rows = [(fp ^ (i << 40), o) for i, (fp, o) in enumerate(rows)]
+    prints = {fp: o for fp, o in rows}
+    near = lambda a, b: (d := (a ^ b).bit_count()) <= 8 and d + (prints[a] ^ prints[b]).bit_count() <= 12
+    roots = dict(map(tuple, connected(simhash.links(spark.createDataFrame(list(prints.items()), "fp long, other long"), 8, total=12)).collect()))
+    assert {p: roots.get(p, p) for p in prints} == components_of(list(prints), near)
+    words = r.choices(WORDS, k=300)
+    one, two = simhash.fingerprints(" ".join(words).encode(), 5, second=True), simhash.fingerprints(" ".join([*words[:150], "new", *words[150:]]).encode(), 5, second=True)
+    assert one[0] == simhash.fingerprint(" ".join(words).encode(), 5) and sum((a ^ b).bit_count() for a, b in zip(one, two, strict=True)) < 20
+
+
+def test_forest_of_dense_groups():
+    r = np.random.default_rng(5)
+    centre = r.integers(0, 1 << 63, 2, dtype=np.uint64)
+    flips = np.uint64(1) << r.integers(0, 64, (3000, 4), dtype=np.uint64)
+    fps = np.unique(np.bitwise_xor.reduce(flips, axis=1) ^ centre[r.integers(0, 2, 3000)])
+    edges = simhash.forest(fps, 8)
+    root = {int(p): int(p) for p in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        assert (a ^ b).bit_count() <= 8 and top(a) != top(b)
+        root[top(a)] = top(b)
+    assert len({top(int(p)) for p in fps}) == 2
+
+
+def test_keep_one_of_odd_rows(spark, odd, empty):
+    assert simhash.keep_one(empty, 8, 5, 20).count() == 0
+    kept = simhash.keep_one(odd, 8, 5, 20)
+    assert kept.columns == odd.columns
+    # null and empty texts are one group; those of two or three words, and the two long ones, are others
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [1, 3, 5, 5, 7, 9, 10]
 
 
 def test_simhash_rows(spark, odd, empty):
@@ -110,9 +176,8 @@ def test_simhash_rows(spark, odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
     assert len(rows) == 11
-    for r in rows:
-        if r.doc_id != 7 and r.doc_id != 8:
-            assert int(r.fingerprint, 16) == brute_fingerprint(texts[r.doc_id])
+    for r in rows:  # the two long texts are hashed in blocks
+        assert int(r.fingerprint, 16) == brute_fingerprint(texts[r.doc_id])
     assert {r.doc_id: r.component_id for r in rows}[2] == 1 and {r.component_id for r in rows if r.doc_id in (7, 8)} == {7}
 
 
@@ -124,11 +189,40 @@ def test_chat_trees(spark):
     assert [tuple(t) for t in best[1].turns] == [("user", "q <|end|> \\ <\\|"), ("assistant", "good\n<|turn|>"), ("user", "")]
     assert best[1].loss_text == "good\n<|turn|>" and best[None].turns[0].text == "x"
     assert chat.format_trees(messages, top=None).count() == 3
+    again = {r.tree: r.formatted for r in chat.format_trees(messages.union(messages)).collect()}
+    assert again == {k: r.formatted for k, r in best.items()}
     assert chat.format_trees(messages.where("false")).count() == 0
     turns = spark.createDataFrame([(i % 2, i, "user", str(i)) for i in range(80)], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: r.n_turns for r in chat.digests(chat.format_trees(chat.from_turns(turns))).collect()} == {0: 40, 1: 40}
 
 
+def test_chat_ranks_as_brute_force(spark):
+    r = random.Random(11)
+    rows = [(t, i, r.choice([None, *range(max(0, i - 4), i)]) if i else None, "user", f"m{i}", float(r.randint(0, 3))) for t in range(6) for i in range(40)]
+    messages = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
+    for top in (1, 3):
+        want = set()
+        for t in range(6):
+            up = {i: (p, s) for tree, i, p, _, _, s in rows if tree == t}
+            ranked = []
+            for leaf in set(up) - {p for p, _ in up.values()}:
+                path = [leaf]
+                while up[path[-1]][0] is not None:
+                    path.append(up[path[-1]][0])
+                ranked.append((-sum(up[i][1] for i in path) / len(path), leaf, tuple(f"m{i}" for i in reversed(path))))
+            want |= {(t, k + 1, leaf, path) for k, (_, leaf, path) in enumerate(sorted(ranked)[:top])}
+        got = {(x.tree, x.branch_rank, x.leaf, tuple(u.text for u in x.turns)) for x in chat.read_back(chat.format_trees(messages, top)).collect()}
+        assert got == want
+
+
+def test_only_chosen_paths_are_expanded(spark):
+    # a chain of 200 messages with 3000 answers to its end: all paths would be 600,000 rows
+    rows = [(1, i, i - 1 if i else None, "user", "x", 0.0) for i in range(200)] + [(1, 1000 + i, 199, "assistant", "y", float(i == 7)) for i in range(3000)]
+    steps, leaves = chat.climb(spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double"))
+    chosen = chat.choose_leaves(leaves, 1)
+    assert leaves.count() == 3000 and chat.expand(steps, chosen).count() == 201 and chosen.first().leaf == 1007
+
+
 @pytest.fixture(scope="module")
 def tricky(odd):
     r = random.Random(4)
@@ -170,6 +264,61 @@ def test_warc(spark, tmp_path):
                 assert zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read().startswith(b"WARC/1.1")
 
 
+def test_warc_frames_and_bundles(spark, tmp_path):
+    r = random.Random(9)
+    texts = {i: "".join(r.choices("abcdefghij \n<>é", k=n)) for i, n in enumerate([5000] * 40 + [0, 1, 99, 60_000, 2 * warc.FRAME_BYTES])}
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in texts.items()], "page_id long, url string, html string").coalesce(1)
+    writer = warc._write(f"file://{tmp_path}", frame_bytes=20_000, bundle_bytes=50_000)
+    ready = pages.selectExpr("page_id", "url", "html", "sha2(html, 256) AS digest", "CAST(NULL AS long) AS refers_to", "false AS revisit")
+    index = ready.mapInArrow(writer, warc.INDEX_SCHEMA).cache()
+    bundles = index.select("bundle").distinct().count()
+    assert bundles > 2 and index.select("bundle", "frame").distinct().count() > bundles
+    read = warc.read_archives(index)
+    assert read.rdd.getNumPartitions() == bundles
+    assert {x.page_id: bytes(x.payload).decode() for x in read.collect()} == texts
+    for place in index.where("page_id in (3, 43, 44)").collect():
+        assert warc.read_record(place.bundle, place.frame, place.record_offset)["payload"].decode() == texts[place.page_id]
+
+
+def brute_density(lexicon, text):
+    """Weights of the entries found by looking at each place of the folded text."""
+    folded, best = toxicity.fold(text), {}
+    free = lambda a, b: (a == 0 or not folded[a - 1].isalnum()) and (b == len(folded) or not folded[b].isalnum())
+    places = lambda w: (k for k in range(len(folded)) if folded.startswith(w, k))
+    for e, weight in lexicon.entries.items():
+        w = e.rstrip("$")
+        for k in places(w) if w in folded else ():
+            if free(k, k + len(w)) if e.endswith("$") else k == 0 or not folded[k - 1].isalnum():
+                best[k] = max(best.get(k, 0.0), weight)
+    for x in lexicon.exceptions:
+        for k in places(x) if best and x in folded else ():
+            if free(k, k + len(x)):
+                best = {p: w for p, w in best.items() if not k <= p < k + len(x)}
+    weight = sum(w for _, w in sorted(best.items()))
+    return np.log1p(100 * weight / (folded.count(" ") + folded.count("\n") + 20)) if weight else 0.0
+
+
+def test_toxicity_against_brute_force(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels)
+    lexicon.exceptions.append(next(iter(lexicon.entries), "x").rstrip("$") + " museum")
+    seen = 0
+    for x in docs.collect() + odd.collect():
+        want = brute_density(lexicon, x.text or "")
+        seen += want > 0
+        assert abs(lexicon.density(x.text or "") - want) < 1e-9
+    assert seen
+    scored = toxicity.score(odd, labels).collect()
+    assert len(scored) == 11 and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in scored)
+
+
+def test_long_words_beside_matches():
+    lexicon = toxicity.Lexicon({"trash$": 5.0})
+    word = "x" * 100
+    assert toxicity._phrases(lexicon)(f"{word} trash {word}") == {f"{word} trash", f"trash {word}"}
+    assert toxicity._phrases(lexicon)("trash") == toxicity._phrases(lexicon)("(trash) ,x") == set()
+
+
 def test_toxicity(spark, empty):
     r = random.Random(6)
     rows, labels = [], []
@@ -200,7 +349,7 @@ def test_quality(spark, odd, empty):
     body = lambda: " ".join(r.choices(WORDS, k=30))
     shared = " ".join(WORDS[:40])
     rows = [(i, f"{body()}\n{shared} {i}", "h") for i in range(20)] + [(100 + i, shared + f" {i}", "h") for i in range(5)] + [(200, body() + "\n" + body(), "other"), (201, shared + " 1", "other")]
-    kept = {x.doc_id: x for x in quality.judge(docs_of(spark, rows), limit=10).collect()}
+    kept = {x.doc_id: x for x in quality.judge(docs_of(spark, rows), 0.05, 10).collect()}
     assert all(kept[i].kept and kept[i].n_removed_words == 0 for i in (200, 201))
     repeated = " ".join(["a b c d e f g h i"] * 3)
     got = quality.judge(docs_of(spark, [(1, repeated, "h"), (2, " ".join(WORDS[:20] + WORDS[:9]), "h")])).orderBy("doc_id").collect()
@@ -209,10 +358,11 @@ def test_quality(spark, odd, empty):
 
 @pytest.fixture(scope="module")
 def large_host():
-    """A host whose common line is in over 50 distinct texts, and a small one with the same line."""
+    """A host whose common line is in most of its texts, and a small one with the same line."""
     r = random.Random(8)
-    body = lambda n: " ".join(r.choices(WORDS, k=n))
-    common = "All  rights reserved " + " ".join(WORDS[:15])
+    names = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in WORDS]  # digits of lines count as equal
+    body = lambda n: " ".join(r.choices(names, k=n))
+    common = "All  rights reserved " + " ".join(names[:15])
     bodies = {i: (body(25), body(5)) for i in range(70)}
     rows = [(i, f"{a}\n{common} {i % 10}\n\n{b}", "h") for i, (a, b) in bodies.items()]
     rows += [(100, f"{common} 5\nshort rest", "h"), (101, f"{body(22)}\n{common} 1\n" + "\n".join([common + " 2"] * 3), "h"), (0, rows[0][1], "h"), (200, rows[3][1], "other"), (201, rows[4][1], None), (300, None, "h")]
@@ -226,11 +376,22 @@ def test_frequent_lines_are_removed(spark, large_host):
     assert all(got[i] == f"{a}\n\n{b}" for i, (a, b) in bodies.items())
     assert got[200] == rows[3][1] and got[201] == rows[4][1] and 100 not in got and 300 not in got
     judged = {x.doc_id: x for x in quality.judge(docs).collect()}
+    whole = quality.cleaned(docs)  # counts the words of what it leaves
+    assert sorted(map(repr, whole.drop("text").collect())) == sorted(map(repr, quality.judge(docs).collect()))
     assert judged[0].n_removed_words == 19 and judged[200].n_removed_words == 0
     assert judged[100].n_removed_words == 19 and not judged[100].kept and not judged[100].base_failed
     assert judged[101].n_removed_words == 76 and not judged[101].kept
 
 
+def test_limits_follow_the_host(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choices(WORDS, k=30)) + ("\nshare this page" if i < 8 else ""), "large") for i in range(400)]
+    rows += [(1000 + i, " ".join(r.choices(WORDS, k=30)) + ("\nshare this page" if i < 8 else ""), "small") for i in range(12)]
+    got = {x.doc_id: x.n_removed_words for x in quality.judge(docs_of(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(1000, 1008))  # 8 of 400 are below the share
+    assert quality.judge(docs_of(spark, rows[:5])).where("n_removed_words > 0").count() == 0
+
+
 def test_large_host_as_sql(spark, large_host):
     import duckdb
 
