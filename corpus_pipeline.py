@@ -11,7 +11,7 @@ from strandweave.llm.shared import new_folder
 #: The columns that all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits in which the fingerprints of near copies differ at most: of the probed one, and of both together.
-NEAR_BITS, NEAR_TOTAL = 8, 20
+NEAR_BITS, NEAR_TOTAL = 10, 20
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
