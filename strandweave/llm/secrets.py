@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 _CLUE = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _TOKEN = re.compile(r"""[A-Za-z0-9+/_.\-]+(?:={1,2}(?=["'),;.\]}>]|$))?|[^\sA-Za-z0-9+/_.\-]""")
-_CLUE_WORDS = frozenset(("key", "auth", "authorization", "bearer", "credential", "credentials", "pwd"))
-_HINT = re.compile(r"[pstakbc](?:assw|ecret|oken|pi_?key|ey|uth|earer|redential|wd)", re.ASCII | re.IGNORECASE)
+_CLUE_WORDS = frozenset(("key", "auth", "authorization", "bearer", "credential", "credentials", "pwd", "passphrase"))
+_HINT = re.compile(r"[pstakbc](?:assw|assphrase|ecret|oken|pi_?key|ey|uth|earer|redential|wd)", re.ASCII | re.IGNORECASE)
 #: What stands before the value in a chunk: a name with a sign of assignment, and opening quotes or brackets.
 _LEAD = re.compile(r"""(?:["'(\[{<]*[\w.\-]+["'\])]*[:=]+)?["'(\[{<]*""", re.ASCII)
 _KNOWN = re.compile(r"ghp_|gho_|sk-|sk_live_|xoxb-|pk_test_|glpat-|AIza|eyJ|AKIA")
@@ -165,6 +165,8 @@ def chunk_features(seen: str, vowels: int, beyond: bool, head: str, clue: str) -
             row += [f"vowels={round(5 * vowels / letters) if letters else '-'}-{min(n // 5, 4)}", f"mixed={min(runs * 4 // n, 4)}-{min(n // 5, 5)}-{kind[:2]}"]
             row += [f"after={seen[high : high + 1]}", f"call={'(' in value}"]
         elif part == "in":
+            # as between a colon and an at sign of an address with a password
+            row += [f"between={seen[a - 1]}{seen[b : b + 1]}", f"between={seen[a - 1]}{seen[b : b + 1]}-{'://' in seen}-{'@' in seen[b:]}", f"reach={seen.rfind('@', b) > 0}-{seen.find(':', low, a) > 0}"]
             row += [f"in={kind}", f"in={kind}-{clue}", f"in={how}-{clue}", f"last={i == len(places) - 1 or places[i + 1][0] >= high}"]
         rows.append(row)
     return places, rows, start
@@ -336,7 +338,11 @@ def generated_lines(count: int, seed: int) -> list[tuple[str, list[tuple[int, in
         lambda: "-".join([pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)]), lambda: f"{pick(lower, 3, 8)}/{pick(lower, 3, 8)}/{pick(lower, 3, 8)}{r.randint(0, 99)}", lambda: f"CC-BY-NC-{r.randint(1, 4)}.0", lambda: f"DE{pick(string.digits, 20, 20)}",
         lambda: f"{pick(string.digits, 4, 4)}-{pick(string.digits, 4, 4)}-{pick(string.digits, 4, 4)}-{pick(string.digits, 4, 4)}", lambda: pick(lower, 2, 6) + "".join(r.choice(["2", "4"]) + pick(lower, 2, 5) for _ in range(2)), lambda: pick(string.ascii_uppercase, 3, 8) + pick(string.digits, 4, 6),
     ]
-    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "pwd", "access_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "bearer", "Authorization: Bearer", "db_password"]
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "pwd", "access_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "bearer", "Authorization: Bearer", "db_password", "passphrase"]
+    schemes = ["postgres", "postgresql", "mysql", "mongodb", "redis", "amqp", "https", "ftp", "smtp", "mongodb+srv"]
+    host = lambda: r.choice([lambda: f"{syllables(1, 3).translate(plainly)}.example.{r.choice(['com', 'net', 'org'])}", lambda: "localhost", lambda: f"{syllables(1, 2).translate(plainly)}-{r.randint(1, 9)}", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))])() + r.choice(["", "", f":{r.randint(80, 65000)}"])
+    user = lambda: r.choice(["admin", "root", "user", "app", "git", syllables(1, 3).translate(plainly), syllables(1, 2).translate(plainly) + str(r.randint(1, 99))])
+    path = lambda: r.choice(["", "/", f"/{syllables(1, 2).translate(plainly)}", f"/{syllables(1, 2).translate(plainly)}?x={r.randint(1, 9)}"])
     # names that tell, before what is no secret
     idle = ["none", "null", "true", "false", "required", "string", "value", "changed", "is", "was", "for", "and", "empty", "expired", "<token>", "${TOKEN}", "****", "the", "count", "of", "read", "get_password()", "input()", "{", "("]
     other = ["id", "date", "version", "phone", "call", "order", "see", "at", "mail", "number", "price", "build", "file", "sku", "class", "name", "title", "type"]
@@ -349,6 +355,17 @@ def generated_lines(count: int, seed: int) -> list[tuple[str, list[tuple[int, in
             body = r.choice(secrets)() if hidden else r.choice(plain)()
             quote = r.choice(["", "", '"', "'"])
             style = r.random()
+            if r.random() < 0.12:  # addresses, with a password or without
+                lead, tail = f"{r.choice(['', '', 'url=', 'see '])}{r.choice(schemes)}://", host() + path()
+                if hidden:
+                    body = r.choice([lambda: pick(alnum, 6, 24), lambda: r.choice(alnum) + "".join(r.choice("!#$%^&*?~") if r.random() < 0.15 else r.choice(alnum) for _ in range(r.randint(6, 18))), lambda: syllables(2, 3).translate(plainly) + pick(string.digits, 1, 4)])()
+                    lead += user() + ":"
+                    line += lead
+                    spans.append((len(line), len(line) + len(body)))
+                    line += body + "@" + tail + " " + word() + " "
+                else:
+                    line += lead + r.choice(["", "", user() + "@"]) + tail + " " + word() + " "
+                continue
             if hidden:
                 name = r.choice(names)
                 lead = f"{name}{r.choice(['=', ' = ', ': ', ':'])}" if style < 0.6 else f"{name} {r.choice(['is ', '', ''])}" if style < 0.85 else ""
@@ -525,8 +542,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of ``docs`` (doc_id, text).
 
     spans lists kind:start:end in code points, by start and then kind: the pattern's, and of kind crf what the field adds.
-    A null text counts as empty and has no spans. Rows are independent, whatever their ids; further columns, whatever
-    their names, are not looked at.
+    A null text counts as empty and has no spans; texts are scanned whole, however long. Of overlapping matches of
+    different kinds all are listed. Rows are independent, whatever their ids, and repeated ones get equal values; further
+    columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     return docs.select("doc_id", filled().alias("text")).mapInArrow(_scan(trained_field()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
