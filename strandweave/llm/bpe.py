@@ -231,12 +231,14 @@ def _digest(path: str):
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids: the token ids of each row's whole text; a null text is empty and has none. Rows are independent."""
+    """doc_id, ids: the token ids of each row's whole text, however long; a null text is empty and has none. Rows are
+    independent, so repeated ones stay; further columns, whatever their names, are not looked at; no rows give none."""
     return docs.select("doc_id", filled().alias("text")).mapInArrow(_encode(tokenizer_path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, text: of rows of doc_id, ids. Null ids give an empty text; bytes that aren't UTF-8 give U+FFFD."""
+    """doc_id, text: of rows of doc_id, ids. Null ids give an empty text; bytes that aren't UTF-8 give U+FFFD. No rows
+    give none."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(tokenizer_path), "doc_id long, text string")
 
 
@@ -244,6 +246,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each row's whole text in one pass.
 
     One row for each row of ``docs`` (doc_id, text), whatever its id; a null text counts as empty. The ids themselves,
-    several times the text, never leave the worker. Further columns are not looked at, whatever their names.
+    several times the text, never leave the worker. Texts are of any length; repeated rows get equal values; further
+    columns are not looked at, whatever their names. An empty table gives an empty result.
     """
     return docs.select("doc_id", filled().alias("text")).mapInArrow(_digest(tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
