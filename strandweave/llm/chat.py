@@ -37,8 +37,8 @@ def from_turns(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _far(step: DataFrame, *more: str) -> DataFrame:
-    return step.where("up is not null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in more])
+def _far(step: DataFrame) -> DataFrame:
+    return step.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"))
 
 
 def _at(left: DataFrame, column: str) -> Column:
@@ -46,7 +46,7 @@ def _at(left: DataFrame, column: str) -> Column:
 
 
 def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """steps[k] (tree, id, up): the message 2 ** k above each; and leaves (tree, leaf, length, total): the messages that
+    """steps[k] (tree, id, up): the message 2 ** k above each that has one; and leaves (tree, leaf, length, total): the messages that
     none answers, with the messages and the sum of scores from the root to them.
 
     ``messages`` has tree, id, parent, score. Of rows that repeat a tree and id, one counts: that of the smallest
@@ -60,25 +60,20 @@ def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     up = ids.join(known, _at(ids, "parent"), "left").select("tree", "id", F.col("_id").alias("up"), "score")
     parents = staged(up, "parents")
     answered = parents.where("up is not null").select(F.col("tree").alias("_tree"), F.col("up").alias("_id")).distinct()
-    steps = [parents.select("tree", "id", "up")]
     # length and total: of the messages from each one up to, not including, the one that ``up`` names
-    jump = parents.select("tree", "id", "up", F.lit(1).cast("long").alias("length"), F.col("score").alias("total"))
-    rows, extent = None, 1
-    while True:
-        reached = jump.agg(F.count("*"), F.count("up")).first()
-        rows = reached[0] if rows is None else rows
-        if not reached[1] or extent > rows:
-            break
-        beyond = jump.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("length").alias("_length"), F.col("total").alias("_total"))
-        further = jump.join(beyond, _at(jump, "up"), "left")
-        extent *= 2
-        add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
-        jump = staged(further.select("tree", "id", F.col("_up").alias("up"), add("length"), add("total")), "jump")
-        steps.append(jump.select("tree", "id", "up"))
-    ended = jump.where("up is null")  # those that circle never end
-    leaves = ended.join(answered, _at(ended, "id"), "left_anti").select("tree", F.col("id").alias("leaf"), "length", "total")
+    made = [staged(parents.select("tree", "id", "up", F.lit(1).cast("long").alias("length"), F.col("score").alias("total")), "jump")]
+    steps, rows, extent = [], made[0].count(), 1
+    known, open_ = made[0].where("up is null"), made[0].where("up is not null")
+    while extent <= rows and not open_.isEmpty():  # messages that have reached their root take part no more
+        steps.append(open_)
+        beyond = known.union(open_).select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("length").alias("_length"), F.col("total").alias("_total"))
+        further = open_.join(beyond, _at(open_, "up"))
+        made.append(staged(further.select("tree", "id", F.col("_up").alias("up"), (F.col("length") + F.col("_length")).alias("length"), (F.col("total") + F.col("_total")).alias("total")), "jump"))
+        known, open_, extent = known.union(made[-1].where("up is null")), made[-1].where("up is not null"), 2 * extent
+    # those that circle never come to an end
+    leaves = known.join(answered, _at(known, "id"), "left_anti").select("tree", F.col("id").alias("leaf"), "length", "total")
     out = staged(leaves, "leaves")
-    discard(ids)
+    discard(ids, parents, *made[len(steps) :])
     return steps, out
 
 
@@ -101,7 +96,7 @@ def choose_leaves(leaves: DataFrame, top: int | None) -> DataFrame:
 def expand(steps: list[DataFrame], leaves: DataFrame) -> DataFrame:
     """tree, leaf, branch_rank, node, height: each leaf's path, from the leaf (height 0) up to its root."""
     paths = leaves.select("tree", "leaf", "branch_rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
-    for k, step in enumerate(steps[:-1]):  # the last one leads nowhere but in circles
+    for k, step in enumerate(steps):
         more = paths.join(_far(step), _at(paths, "node")).select("tree", "leaf", "branch_rank", F.col("_up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
         old, paths = paths, staged(paths.union(more), "paths")
         if k:
