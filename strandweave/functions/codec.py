@@ -18,18 +18,15 @@ def check_k(k: int) -> int:
 
 
 def digits(dna: Column) -> Column:
-    """The bases as digits of base four; what isn't a base stays as it is."""
-    return F.translate(dna, BASES + "U", DIGITS + "2")
-
-
-def from_digits(d: Column) -> Column:
-    """Digits of base four to a long; null if there is anything else among them, or nothing."""
-    return F.when(d.rlike("^[0-3]{1,31}$"), F.conv(d, 4, 10).cast("long"))
+    """The bases as digits of base four; what isn't a base, a digit too, as N."""
+    return F.translate(F.regexp_replace(F.upper(dna), f"[^{BASES}U]", "N"), BASES + "U", DIGITS + "2")
 
 
 def encode(dna: Column) -> Column:
-    """A DNA string of 1 to 31 bases, of either case, as a long; null if it holds another letter."""
-    return from_digits(digits(F.upper(dna)))
+    """A DNA string of 1 to 31 bases, of either case, as a long; null if it holds anything else, or nothing."""
+    bases = F.upper(dna)
+    code = F.conv(F.translate(bases, BASES + "U", DIGITS + "2"), 4, 10).cast("long")
+    return F.when(bases.rlike(f"^[{BASES}U]{{1,{MAX_K}}}$"), code)
 
 
 def decode(code: Column, k: int) -> Column:

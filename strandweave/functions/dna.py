@@ -112,11 +112,25 @@ def complexity(seq: Column, n: int) -> Column:
     return F.when(total > 0, F.aggregate(counts, F.lit(0.0), term)).otherwise(F.lit(0.0))
 
 
-def mask_low_complexity(seq: Column, mask: str = "N", n: int = 20, window: int = 12) -> Column:
-    """The sequence with ``mask`` where more than three windows of low entropy lie, or where the first window over a base
-    is low. A window is low below the mean less one standard deviation of all. Shorter sequences stay as they are."""
+def counts_complexity(counts: Column, n: int) -> Column:
+    """The entropy of residue counts taken as a sequence of ``n`` letters themselves: of how often each count occurs, for
+    the first ``n`` kinds of count, against the length ``n``."""
+    kinds = F.slice(F.array_distinct(counts), 1, n)
+    often = F.transform(kinds, lambda c: F.size(F.filter(counts, lambda x: x == c)))
+    return F.aggregate(often, F.lit(0.0), lambda a, c: a - (c / n) * F.log(c / n) / F.log(F.lit(float(n))))
+
+
+def mask_low_complexity(seq: Column, mask: str = "N", n: int = 20, window: int = 12, mode: str = "entropy") -> Column:
+    """The sequence with ``mask`` where more than three windows of low complexity lie, or where the first window over a
+    base is low. A window is low below the mean less one standard deviation of all. Shorter sequences stay as they are.
+
+    A window's complexity is the entropy of its residues or, with ``mode`` "reference", that of the counts of its residues
+    taken as letters."""
+    if mode not in ("entropy", "reference"):
+        raise ValueError("mode must be entropy or reference")
     last = F.length(seq) - window
-    scores = F.transform(sliding_windows(seq, window), lambda w: complexity(w, n))
+    score = (lambda w: complexity(w, n)) if mode == "entropy" else (lambda w: counts_complexity(residue_counts(w, n), n))
+    scores = F.transform(sliding_windows(seq, window), score)
 
     def cut(s: Column) -> Column:
         mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)

@@ -17,6 +17,9 @@ def test_codes(spark):
     assert one(spark, codec.encode(F.lit("actg"))) == 27
     assert one(spark, codec.encode(F.lit("ACNG"))) is None
     assert one(spark, codec.encode(F.lit(""))) is None
+    for text in ("0123", "AC0GT", "3", "AC GT", "A" * 32):
+        assert one(spark, codec.encode(F.lit(text))) is None
+    assert one(spark, codec.digits(F.lit("aC0GT3u"))) == "01N32N2"
     assert one(spark, codec.encode(F.lit("G" * 31))) == 4**31 - 1
     assert one(spark, codec.decode(F.lit(27), 6)) == "AAACTG"
     assert one(spark, codec.reverse_barcode(F.lit(27), 4)) == one(spark, codec.encode(F.lit("GTCA")))
@@ -56,7 +59,7 @@ def test_gene_queries(spark):
             one(spark, dna.parse_gene_query(F.lit(bad)))
 
 
-@pytest.mark.parametrize("seq, n, want", [("AAGG", 4, [2, 2, 0, 0]), ("AAAGGCCCC", 2, [3, 2]), ("AAAA", 4, [4, 0, 0, 0])])
+@pytest.mark.parametrize("seq, n, want", [("TACT", 5, [2, 1, 1, 0, 0]), ("CCGTTTTA", 3, [4, 2, 1]), ("", 2, [0, 0])])
 def test_residues(spark, seq, n, want):
     assert one(spark, dna.residue_counts(F.lit(seq), n)) == want
 
@@ -69,6 +72,37 @@ def test_complexity(spark):
     assert one(spark, dna.mask_low_complexity(F.lit("ACG"))) == "ACG"
 
 
+def test_mask_by_counts(spark):
+    # counts 4, 0, 0, 0 as letters: one kind once, one three times
+    quarter = -(0.25 * math.log(0.25, 4) + 0.75 * math.log(0.75, 4))
+    assert one(spark, dna.counts_complexity(F.array(F.lit(4), F.lit(0), F.lit(0), F.lit(0)), 4)) == pytest.approx(quarter)
+    seq = "ACGTGCATGACTGCTAGCATCGATCG" + "AC" * 8 + "GCTAGCATCGATGCACTGATCG"
+    both = [one(spark, dna.mask_low_complexity(F.lit(seq), n=4, window=8, mode=m)) for m in ("entropy", "reference")]
+    assert both[0] != both[1] and all(len(x) == len(seq) for x in both)
+    with pytest.raises(ValueError):
+        dna.mask_low_complexity(F.lit(seq), mode="other")
+
+
+def test_sql_functions(spark):
+    from strandweave.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT dna_encode('actg') a, dna_encode('A0') b, dna_decode(27, 6) c, dna_revcomp('AACG') d, dna_sanitize('ac u-x') e, dna_entropy('ACGT', 4) f, dna_entropy('AAAA', 4) g, kmer_bucket(27L, 4, 2, 100) h").first()
+    assert tuple(row)[:5] == (27, None, "AAACTG", "CGTT", "ACT") and row.f == pytest.approx(1) and row.g == 0
+    assert row.h == int(hashing.signatures(np.array([27]), 4, 2)[0] % np.uint64(100))
+    got = spark.sql("SELECT s, pos, kmer FROM VALUES ('ACGTA'), ('AC') AS t(s), LATERAL kmers(s, 3, 2)").collect()
+    assert sorted(map(tuple, got)) == [("ACGTA", 0, "ACG"), ("ACGTA", 2, "GTA")]
+
+
+def test_window_lengths():
+    assert search.usable_window(24, 8, 30) == (24, None) == search.usable_window(24, 8, None)
+    length, warning = search.usable_window(24, 8, 11)
+    assert length == 11 and "11" in warning
+    for args in ((7, 8, 30), (24, 8, 7)):
+        with pytest.raises(ValueError):
+            search.usable_window(*args)
+
+
 def test_small_parsers(spark):
     assert one(spark, dna.bytes_of(F.lit("1.5K"))) == 1536
     assert one(spark, dna.bytes_of(F.lit("2G"))) == 2 << 30
@@ -97,12 +131,12 @@ def test_signatures_by_hand():
 
 
 def test_metrics(spark):
-    assert [round(x, 2) for x in spark.range(1, 101).agg(metrics.percentiles("id")).first()[0]] == [5.95, 50.5, 95.05]
+    assert [round(x, 2) for x in spark.range(0, 41).agg(metrics.percentiles("id")).first()[0]] == [2, 20, 38]
     assert spark.range(0).agg(metrics.percentiles("id")).first()[0] == [0, 0, 0]
-    row = metrics.run_metrics(spark.createDataFrame([(100, 80, 1000, 700, 2.0)], "total_reads long, indexed_reads long, total_nt long, indexed_nt long, seconds double"))
+    row = metrics.run_metrics(spark.createDataFrame([(250, 40, 9000, 700, 4.0)], "total_reads long, indexed_reads long, total_nt long, indexed_nt long, seconds double"))
     got = row.first()
-    assert (got.unindexed_reads, got.indexed_pct, got.reads_per_s) == (20, 80.0, 50.0)
-    assert "METRIC indexed_pct=80.0" in [r.line for r in metrics.summary_lines(row).collect()]
+    assert (got.unindexed_reads, got.indexed_pct, got.reads_per_s) == (210, 16.0, 62.5)
+    assert "METRIC indexed_pct=16.0" in [r.line for r in metrics.summary_lines(row).collect()]
 
 
 def test_votes():
