@@ -42,13 +42,13 @@ def counted(reads: DataFrame, seen: Observation) -> DataFrame:
 def run_index(args) -> None:
     """Reads become an index in one pass: what they count is observed on the way."""
     spark, began = session(args.threads), time.time()
-    _, read, start, end = readers.flavor("given", {"given": ("CB", args.cell)}) if args.cell else readers.flavor(args.flavor)
+    _, read, start, end = readers.flavor("given", {"given": ("CB", args.cell)}) if args.cell else readers.load_flavor(args.flavor)
     total, kept = Observation("total"), Observation("kept")
     spaced, known = False, None
     bulk = len(args.reads_in) == 2 and args.reads_in[0].isdigit() or args.flavor == "bulk" and len(args.reads_in) == 1
     if bulk:
         number = int(args.reads_in[0]) if len(args.reads_in) == 2 else args.bulk_id
-        reads = counted(spark.read.format("fastq").load(args.reads_in[-1]).select("seq"), total)
+        reads = counted(readers.read_fastq(spark, args.reads_in[-1]).select("seq"), total)
         assigned, n_cells = barcodes.bulk_cells(reads, number).where(F.length("seq") >= args.kmer_length), 1
     else:
         if not args.spatial_bc_in:
@@ -57,11 +57,11 @@ def run_index(args) -> None:
         known, spaced = barcode_list(spark, args.spatial_bc_in, end - start)
         n_cells = known.count()
         if kind == "fastq":
-            r1, r2 = (spark.read.format("fastq").load(p).select("read_no", "seq") for p in args.reads_in)
+            r1, r2 = (readers.read_fastq(spark, p).select("read_no", "seq") for p in args.reads_in)
             r1, r2 = (counted(r1, total), r2) if read == "r2" else (r1, counted(r2, total))
             assigned = barcodes.assign_cells(r1, r2, known, start, end, args.kmer_length, read == "r2")
         elif kind == "bam":
-            tag = args.bam_barcode_tag or readers.flavor(args.flavor)[0]
+            tag = args.bam_barcode_tag or readers.load_flavor(args.flavor)[0]
             reads = counted(readers.read_bam(spark, args.reads_in[0], tag, args.bam_sequence_tag), total)
             assigned = barcodes.tagged_cells(reads, known, args.kmer_length)
         else:

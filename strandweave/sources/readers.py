@@ -1,11 +1,12 @@
 """Python data sources for sequencing files, and readers for barcode lists.
 
 A compressed file can't be split, so it is one partition; plans should spread its rows before heavy work. Plain FASTQ
-files are split by bytes if ``split_bytes`` is given.
+files are split by bytes by ``read_fastq``, which numbers their records all the same.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 
@@ -65,6 +66,10 @@ class _FileReader(DataSourceReader):
 class FastqReader(_FileReader):
     names, types, splittable = ["read_no", "name", "seq", "qual"], [pa.int64(), pa.string(), pa.string(), pa.string()], True
 
+    def __init__(self, options):
+        super().__init__(options)
+        self.split = 0  # a piece can't tell how many records come before it; see FastqPiecesReader
+
     def rows(self, piece):
         base = piece.number << FILE_BITS
         if piece.end is None:
@@ -72,7 +77,7 @@ class FastqReader(_FileReader):
                 for i, x in enumerate(files.fastq_records(stream)):
                     yield base + i, *x
             return
-        # records that begin in [start, end): numbered by their place in the file, as no one has counted those before
+        # records that begin in [start, end)
         fs, at = files.locate(piece.path)
         with fs.open_input_file(at) as f:
             f.seek(piece.start)
@@ -121,6 +126,20 @@ class FastqReader(_FileReader):
             yield pos, rest.rstrip(b"\r")
 
 
+class FastqPiecesReader(FastqReader):
+    """Records by file and piece, numbered within the piece."""
+
+    names, types = ["file", "piece", "at", "name", "seq", "qual"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.split = int(options.get("split_bytes", 0))
+
+    def rows(self, piece):
+        for i, x in enumerate(super().rows(piece)):
+            yield piece.number, piece.start, i, *x[1:]
+
+
 class FastaReader(_FileReader):
     names, types = ["record_no", "header", "seq"], [pa.int64(), pa.string(), pa.string()]
 
@@ -173,6 +192,7 @@ def _source(label: str, reader: type, schema_text: str) -> type[DataSource]:
 
 SOURCES = [
     _source("fastq", FastqReader, "read_no bigint, name string, seq string, qual string"),
+    _source("fastq_pieces", FastqPiecesReader, "file bigint, piece bigint, at bigint, name string, seq string, qual string"),
     _source("fasta", FastaReader, "record_no bigint, header string, seq string"),
     _source("stomics", StomicsReader, "barcode string, cell_id bigint, x float, y float"),
 ]
@@ -189,10 +209,45 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = 1 << 27) -> DataFrame:
+    """read_no, name, seq, qual of FASTQ files, as the source ``fastq`` gives them, but read in pieces of about
+    ``split_bytes`` at once. A first pass counts the records of each piece, so that numbers are those of an unsplit file;
+    the counts are a row a partition and are broadcast. Compressed files are one piece each, and aren't counted."""
+    pieces = spark.read.format("fastq_pieces").option("split_bytes", split_bytes).load(path)
+    number = F.shiftleft("file", FILE_BITS)
+    if all(p.end is None for p in FastqPiecesReader({"path": path, "split_bytes": split_bytes}).partitions()):
+        return pieces.select((number + F.col("at")).alias("read_no"), "name", "seq", "qual")
+    sizes = pieces.groupBy("file", "piece").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "piece", before.alias("before"))
+    return pieces.join(F.broadcast(starts), ["file", "piece"]).select((number + F.col("before") + F.col("at")).alias("read_no"), "name", "seq", "qual")
+
+
+def load_flavor(name: str) -> tuple[str, str, int, int]:
+    """Like ``flavor``; a name that ends in .yaml is a file of one entry (cell, bam_tags), or of several below
+    barcode_flavors, of which the first counts. Needs PyYAML."""
+    if not name.lower().endswith(".yaml"):
+        return flavor(name)
+    import yaml
+
+    with files.open_binary(name) as f:
+        entry = yaml.safe_load(f.read())
+    if "barcode_flavors" in entry:
+        entry = next(iter(entry["barcode_flavors"].values()))
+    tag = re.match(r"([A-Z][A-Z0-9]):\{cell\}", entry.get("bam_tags") or "")
+    return flavor("custom", {"custom": (tag[1] if tag else "CB", entry["cell"])})
+
+
+def parse_slice(text: str) -> slice:
+    """``a:b`` or ``a:b:c`` as a slice, where parts may be empty; a number alone is that one place."""
+    parts = [int(p) if p.strip() else None for p in text.split(":")]
+    if len(parts) > 3 or parts == [None]:
+        raise ValueError(f"not a slice: {text}")
+    return slice(parts[0], parts[0] + 1) if len(parts) == 1 else slice(*parts)
+
+
 def flavor(name: str, custom: dict[str, tuple[str, str]] | None = None) -> tuple[str, str, int, int]:
     """tag, read, start, end of a kit, known or given."""
-    import re
-
     known = FLAVORS | (custom or {})
     if name not in known:
         raise ValueError(f"unknown flavor {name}; there are {', '.join(sorted(known))}")
@@ -216,9 +271,14 @@ def input_type(reads: list) -> str:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value: lines of a small list, numbered in order from 0."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_m"), "value")
-    return rows.select((F.row_number().over(Window.orderBy("_m")) - 1).cast("long").alias("line_no"), "value")
+    """line_no, value: lines of a list, numbered in order from 0, of several files in the order of their names: by their
+    place in a block of a file, on top of the lines of the blocks before. Only a row a block meets in one window."""
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("_m"), "value")
+    sizes = rows.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_file", "_start", "_first", before.alias("_at"))
+    return rows.join(F.broadcast(starts), ["_file", "_start"]).select((F.col("_at") + F.col("_m") - F.col("_first")).alias("line_no"), "value")
 
 
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:

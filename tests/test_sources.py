@@ -27,10 +27,16 @@ def test_fastq(spark, tmp_path, ending):
 
 def test_fastq_pieces_lose_nothing(spark, tmp_path):
     (tmp_path / "a.fastq").write_bytes(fastq(300))
-    whole = {r.name for r in spark.read.format("fastq").load(f"{tmp_path}/a.fastq").collect()}
-    for size in (97, 1000):
-        rows = spark.read.format("fastq").option("split_bytes", size).load(f"{tmp_path}/a.fastq").collect()
-        assert len(rows) == 300 and {r.name for r in rows} == whole and len({r.read_no for r in rows}) == 300
+    with files.open_writer(f"{tmp_path}/b.fastq.gz") as f:
+        f.write(fastq(300))
+    whole = sorted(map(tuple, spark.read.format("fastq").load(f"{tmp_path}/a.fastq").collect()))
+    for size in (97, 1000, 1 << 27):
+        assert sorted(map(tuple, readers.read_fastq(spark, f"{tmp_path}/a.fastq", size).collect())) == whole
+    # a split and an unsplit file of a pair still meet by number
+    pair = readers.read_fastq(spark, f"{tmp_path}/a.fastq", 500).join(readers.read_fastq(spark, f"{tmp_path}/b.fastq.gz").withColumnRenamed("name", "other"), "read_no")
+    assert pair.count() == 300 and pair.where("name != other").count() == 0
+    both = readers.read_fastq(spark, f"{tmp_path}/a.fastq,{tmp_path}/b.fastq.gz", 500)
+    assert both.count() == 600 and both.select("read_no").distinct().count() == 600
 
 
 def test_compression_by_content(tmp_path):
@@ -66,10 +72,29 @@ def test_markers(spark, tmp_path):
     assert readers.read_markers(spark, f"{tmp_path}/m.json", technical=True).count() == 3
 
 
+def test_flavor_files(tmp_path):
+    (tmp_path / "one.yaml").write_text("cell: r2[3:9]\nbam_tags: XC:{cell}\n")
+    (tmp_path / "some.yaml").write_text("barcode_flavors:\n  mine:\n    cell: r1[1:7]\n")
+    assert readers.load_flavor(f"{tmp_path}/one.yaml") == ("XC", "r2", 3, 9)
+    assert readers.load_flavor(f"{tmp_path}/some.yaml") == ("CB", "r1", 1, 7)
+
+
+def test_imported_counts(spark, tmp_path):
+    from strandweave.operators import postings
+
+    (tmp_path / "c.fa").write_text(">3\nACTG\n>12\nacgt\n>x\nAAAA\n>4\nANNA\n>5\nACTG\n")
+    rows = postings.import_counts(spark.read.format("fasta").load(f"{tmp_path}/c.fa")).collect()
+    assert sorted(map(tuple, rows)) == [(0b00011011, 5), (0b00011110, 12)]
+
+
 def test_kinds():
     assert readers.input_type(["a", "b"]) == "fastq" and readers.input_type(["x.BAM"]) == "bam" and readers.input_type(["x.sra"]) == "sra"
     with pytest.raises(ValueError):
         readers.input_type(["x.txt"])
-    assert readers.flavor("openst") == ("CB", "r1", 2, 27)
+    assert readers.flavor("openst") == readers.load_flavor("openst") == ("CB", "r1", 2, 27)
+    assert readers.parse_slice("2:9") == slice(2, 9) and readers.parse_slice(":9:2") == slice(None, 9, 2) and readers.parse_slice("4") == slice(4, 5)
+    for bad in ("", "1:2:3:4", "a:b"):
+        with pytest.raises(ValueError):
+            readers.parse_slice(bad)
     with pytest.raises(ValueError):
         readers.flavor("none")
