@@ -15,6 +15,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
+#: Distinct totals that reach the driver at most.
+MOST_TOTALS = 2_000_000
+
+
 def qc_metrics(matrix: DataFrame) -> DataFrame:
     """cell_id, total, n_features."""
     return matrix.groupBy("cell_id").agg(F.sum("value").alias("total"), F.count(F.when(F.col("value") > 0, 1)).alias("n_features"))
@@ -37,20 +41,32 @@ def normalize_log1p(matrix: DataFrame) -> DataFrame:
 
 
 def histogram_of_totals(qc: DataFrame) -> pd.DataFrame:
-    """total, n in descending order of total: what ranks and thresholds need, far less than a row a cell."""
-    return qc.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total")).toPandas()
+    """total, n in descending order of total: what ranks and thresholds need, far less than a row a cell. Totals of counts
+    are whole and few; more than MOST_TOTALS distinct ones are an error, and should be rounded first."""
+    sizes = qc.groupBy("total").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_TOTALS + 1).count() > MOST_TOTALS:
+        raise ValueError("there are too many distinct totals to rank; round them")
+    return sizes.orderBy(F.desc("total")).toPandas()
 
 
 def barcode_rank(qc: DataFrame) -> DataFrame:
     """``qc`` with rank, from the largest total on, ties by cell_id.
 
-    Ranks come from how many cells have a larger total, which is a sum over distinct totals, and a row number among equal
-    ones; so no task sorts all cells.
+    Ranks come from how many cells have a larger total, which is a sum over ranges of totals and over those in one range,
+    and among equal ones from how many are in ranges of smaller ids and a row number; so no task sorts all cells, nor all
+    of the same total.
     """
-    sizes = qc.groupBy("total").agg(F.count("*").alias("n"))
-    above = sizes.select("total", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    within = F.row_number().over(Window.partitionBy("total").orderBy("cell_id"))
-    return qc.join(above, "total").withColumn("rank", (F.col("above") + within).cast("long")).drop("above")
+    coarse = F.floor(F.log1p(F.greatest(F.col("total").cast("double"), F.lit(0.0))) * 256)  # a few thousand ranges
+    cut = qc.withColumns({"_block": F.shiftright(F.col("cell_id").cast("long"), 12), "_coarse": coarse})
+    blocks = cut.groupBy("_coarse", "total", "_block").agg(F.count("*").alias("n"))
+    totals = blocks.groupBy("_coarse", "total").agg(F.sum("n").alias("n"))
+    ranges = totals.groupBy("_coarse").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = ranges.select("_coarse", before(Window.orderBy(F.desc("_coarse"))).alias("a"))
+    at = totals.join(at, "_coarse").select("_coarse", "total", (F.col("a") + before(Window.partitionBy("_coarse").orderBy(F.desc("total")))).alias("a"))
+    at = blocks.join(at, ["_coarse", "total"]).select("total", "_block", (F.col("a") + before(Window.partitionBy("total").orderBy("_block"))).alias("a"))
+    within = F.row_number().over(Window.partitionBy("total", "_block").orderBy("cell_id"))
+    return cut.withColumn("_own", within).join(at, ["total", "_block"]).select(*qc.columns, (F.col("a") + F.col("_own")).cast("long").alias("rank"))
 
 
 def _top_percentile(totals: np.ndarray, ends: np.ndarray, n: int) -> float:
@@ -161,18 +177,25 @@ def chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([1.0 if d <= 0 else _upper_gamma(d / 2, max(s, 0.0) / 2) for s, d in zip(statistic, df, strict=True)], dtype="float64")
 
 
+#: Parts of the distinct p-values that are ranked each by one task.
+PARTS = 256
+
+
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.01, p: str | Column = "p_value") -> DataFrame:
     """``tests`` with significant: whether the p-value is at most the largest that lies under the line j * alpha / m.
 
-    Ranks within coarse ranges of p are added to the sizes of the ranges before, so that no task sorts all tests.
+    Equal p-values are counted first, then cut into parts of about equal numbers of them; ranks within a part are added
+    to the sizes of the parts before. So no task sorts all tests, wherever they crowd.
     """
     value = F.col(p) if isinstance(p, str) else p
-    part = F.floor(F.least(value, F.lit(1.0)) * 4096).cast("int")
-    ranged = tests.withColumns({"_p": value, "_part": part})
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # 4097 rows at most
+    ranged = tests.withColumn("_p", value)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    cuts = sizes.agg(F.percentile_approx("_p", [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts"))  # one row
+    parted = sizes.join(F.broadcast(cuts), F.lit(True)).select("_p", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_p"))).alias("_part"))
+    before = parted.groupBy("_part").agg(F.sum("_n").alias("_n"))  # PARTS rows at most
     before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    rank = F.rank().over(Window.partitionBy("_part").orderBy("_p")) + F.count("*").over(Window.partitionBy("_part", "_p")) - 1
-    ranked = ranged.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_above") + rank)
+    rank = F.sum("_n").over(Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parted.withColumn("_own", rank).join(F.broadcast(before), "_part").withColumn("_rank", F.col("_above") + F.col("_own"))
     m = tests.agg(F.count("*").alias("_m"))
     cut = ranked.join(F.broadcast(m), F.lit(True)).where(F.col("_p") <= F.col("_rank") * alpha / F.col("_m")).agg(F.max("_p").alias("_cut"))
     return ranged.join(F.broadcast(cut), F.lit(True)).select(*tests.columns, F.coalesce(F.col("_p") <= F.col("_cut"), F.lit(False)).alias("significant"))

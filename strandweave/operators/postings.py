@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -25,7 +25,7 @@ def kmers_of(reads: DataFrame, k: int, overlapping: bool = False, seq: str = "se
     last = n - k if overlapping else F.ceil(n / k).cast("int") - 1
     # a base-four string is made once a read, one byte a base, of which a part is cut without walking there from the
     # start; what follows is substring and conv in generated code
-    coded = reads.select(*others, F.regexp_replace(codec.digits(F.upper(F.col(seq))), "[^0-3]", "N").cast("binary").alias("_d")).where(n >= k)
+    coded = reads.select(*others, codec.digits(F.col(seq)).cast("binary").alias("_d")).where(n >= k)
     placed = coded.select(*others, "_d", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
     at = F.col("_at") if overlapping else F.least(F.col("_at") * k, n - k)
     cut = placed.select(*others, F.substring(F.col("_d"), at + 1, F.lit(k)).cast("string").alias("_k"))
@@ -48,24 +48,28 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("kmer").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
 
 
-def kmer_arrays(postings: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
+#: Bits of a k-mer that ranges of one level have more than those of the next.
+LEVEL_BITS = 12
+
+
+def kmer_arrays(postings: DataFrame, start: int | None = None, stop: int | None = None, k: int = codec.MAX_K) -> DataFrame:
     """kmer, cells, offset: all lists in order of kmer with the running offset that a CSR export needs, optionally
     only of k-mers from ``start`` up to, not including, ``stop``.
 
-    Offsets are running sums within ranges of kmer, on top of the sums of the ranges before, so that no single task
-    walks over all k-mers."""
+    Offsets are running sums within ranges of kmer, on top of those of the ranges before, at as many levels as ``k``
+    needs for the highest to have a few thousand ranges; so no single task walks over all k-mers."""
     lo, hi = (F.lit(True) if x is None else c for x, c in ((start, F.col("kmer") >= F.lit(start)), (stop, F.col("kmer") < F.lit(stop))))
     lists = posting_lists(postings.where(lo & hi)).withColumn("n", F.size("cells").cast("long"))
-    from pyspark.sql import Window
-
-    ranged = lists.withColumn("block", F.shiftright("kmer", 12))
-    sums = ranged.groupBy("block").agg(F.sum("n").alias("block_n"))
-    coarse = sums.withColumn("super", F.shiftright("block", 12))
-    tops = coarse.groupBy("super").agg(F.sum("block_n").alias("super_n"))
-    tops = tops.withColumn("super_at", F.coalesce(F.sum("super_n").over(Window.orderBy("super").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = coarse.join(tops, "super").withColumn("block_at", F.col("super_at") + F.coalesce(F.sum("block_n").over(Window.partitionBy("super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("kmer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(starts.select("block", "block_at"), "block").select("kmer", "cells", (F.col("block_at") + within).cast("long").alias("offset"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = [lists.groupBy(F.shiftright("kmer", LEVEL_BITS).alias("block")).agg(F.sum("n").alias("n"))]
+    for _ in range(LEVEL_BITS, 2 * k - LEVEL_BITS, LEVEL_BITS):
+        levels.append(levels[-1].groupBy(F.shiftright("block", LEVEL_BITS).alias("block")).agg(F.sum("n").alias("n")))
+    starts = levels[-1].select("block", before("n", Window.orderBy("block")).alias("at"))
+    for level in reversed(levels[:-1]):
+        inner = level.withColumn("up", F.shiftright("block", LEVEL_BITS)).join(starts.select(F.col("block").alias("up"), "at"), "up")
+        starts = inner.select("block", (F.col("at") + before("n", Window.partitionBy("up").orderBy("block"))).alias("at"))
+    ranged = lists.withColumn("block", F.shiftright("kmer", LEVEL_BITS)).join(starts, "block")
+    return ranged.select("kmer", "cells", (F.col("at") + before("n", Window.partitionBy("block").orderBy("kmer"))).cast("long").alias("offset"))
 
 
 def lists_to_postings(lists: DataFrame) -> DataFrame:
@@ -148,10 +152,50 @@ def combine(spark: SparkSession, paths: list[str], out: str, merge: bool = False
 
 
 def verify(old: DataFrame, new: DataFrame) -> DataFrame:
-    """kmer, status: ok, mismatch, missing (only in old) or extra (only in new), by the sets of cells."""
-    a, b = posting_lists(old).withColumnRenamed("cells", "old_cells"), posting_lists(new).withColumnRenamed("cells", "new_cells")
-    status = F.when(F.col("new_cells").isNull(), "missing").when(F.col("old_cells").isNull(), "extra").when(F.col("old_cells") == F.col("new_cells"), "ok").otherwise("mismatch")
-    return a.join(b, "kmer", "full_outer").select("kmer", status.alias("status"))
+    """kmer, status: ok, mismatch, missing (only in old) or extra (only in new), by the sets of cells.
+
+    Sets are compared by their size and the exclusive or of two hashes of each cell, which partial aggregation takes
+    whatever the number of cells is; no list is made. Postings must be distinct, as an index has them."""
+
+    def summed(postings: DataFrame, name: str) -> DataFrame:
+        marks = [F.count("*"), F.bit_xor(F.xxhash64("cell_id")), F.bit_xor(F.xxhash64("cell_id", F.lit(1)))]
+        return postings.groupBy("kmer").agg(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).alias(name))
+
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") == F.col("b"), "ok").otherwise("mismatch")
+    return summed(old, "a").join(summed(new, "b"), "kmer", "full_outer").select("kmer", status.alias("status"))
+
+
+def cell_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """kmer, cell_id, change: the postings that only ``old`` has (lost) and that only ``new`` has (gained)."""
+    keys = ["kmer", "cell_id"]
+    lost, gained = old.select(*keys).join(new.select(*keys), keys, "left_anti"), new.select(*keys).join(old.select(*keys), keys, "left_anti")
+    return lost.withColumn("change", F.lit("lost")).union(gained.withColumn("change", F.lit("gained")))
+
+
+def distinct_cells(hits: DataFrame) -> DataFrame:
+    """cell_id, compact_id: the distinct cells of ``hits`` numbered from 0 in their order.
+
+    Numbers are those within ranges of ids, on top of how many the ranges before have."""
+    cells = hits.select("cell_id").distinct().withColumn("block", F.shiftright("cell_id", 16))
+    sizes = cells.groupBy("block").agg(F.count("*").alias("n"))  # a row for 65,536 ids
+    starts = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    own = F.row_number().over(Window.partitionBy("block").orderBy("cell_id")) - 1
+    return cells.withColumn("own", own).join(starts, "block").select("cell_id", (F.col("at") + F.col("own")).cast("long").alias("compact_id"))
+
+
+def with_samples(scores: DataFrame, samples: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """``scores`` (composite, score) with what is known of the sample (sample_id, ...) and, if given, of the cell
+    (sample_id, cell_id, ...) that each composite id stands for. Unknown ones stay, with nulls."""
+    split = scores.withColumns({"sample_id": codec.composite_sample(F.col("composite")), "cell_id": codec.composite_cell(F.col("composite"))})
+    named = split.join(samples, "sample_id", "left")
+    return named if cells is None else named.join(cells, ["sample_id", "cell_id"], "left")
+
+
+def import_counts(records: DataFrame) -> DataFrame:
+    """kmer, n_genes of FASTA records (header, seq) whose names are counts, as k-mer counters export them. Records that
+    hold no count or no k-mer are left out; of a k-mer that comes twice the larger count counts."""
+    rows = records.select(codec.encode(F.col("seq")).alias("kmer"), F.regexp_extract("header", r"^\s*([0-9]+)", 1).try_cast("long").alias("n_genes"))
+    return rows.where("kmer is not null and n_genes is not null").groupBy("kmer").agg(F.max("n_genes").alias("n_genes"))
 
 
 def sample_kmers(stats: DataFrame, n: int, seed: int = 42) -> DataFrame:

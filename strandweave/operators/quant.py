@@ -9,16 +9,26 @@ from . import postings as P
 from . import search
 
 
+#: Record numbers of one block have these low bits.
+BLOCK_BITS = 16
+
+
 def gene_runs(records: DataFrame) -> DataFrame:
     """``records`` (record_no, header, seq) with gene and run: consecutive records of one gene are one run.
 
-    A gene is what the header has before its first colon. Runs are numbered over all records in their order; that one
-    window holds no sequences, only numbers and names.
+    A gene is what the header has before its first colon. Runs are counted within blocks of record numbers, on top of how
+    many begin in the blocks before; only a row a block, with its first and last gene, meets in one window.
     """
-    named = records.select("record_no", F.substring_index("header", ":", 1).alias("gene"))
-    order = Window.orderBy("record_no")
-    starts = named.withColumn("new", F.when(F.lag("gene").over(order).eqNullSafe(F.col("gene")), 0).otherwise(1))
-    runs = starts.select("record_no", "gene", F.sum("new").over(order).alias("run"))
+    named = records.select("record_no", F.substring_index("header", ":", 1).alias("gene")).withColumn("block", F.shiftright("record_no", BLOCK_BITS))
+    order = Window.partitionBy("block").orderBy("record_no")
+    changes = F.when((F.row_number().over(order) == 1) | F.lag("gene").over(order).eqNullSafe(F.col("gene")), 0).otherwise(1)
+    marked = named.withColumn("new", changes)
+    blocks = marked.groupBy("block").agg(F.min_by("gene", "record_no").alias("first"), F.max_by("gene", "record_no").alias("last"), F.sum("new").alias("n"))
+    along = Window.orderBy("block")
+    begins = F.when((F.row_number().over(along) > 1) & F.lag("last").over(along).eqNullSafe(F.col("first")), 0).otherwise(1)
+    begun = blocks.select("block", "n", begins.alias("begins"))
+    starts = begun.select("block", (F.sum(F.col("n") + F.col("begins")).over(along) - F.col("n")).alias("at"))
+    runs = marked.withColumn("own", F.sum("new").over(order)).join(starts, "block").select("record_no", "gene", (F.col("at") + F.col("own")).alias("run"))
     return records.drop("gene", "run").join(runs, "record_no")
 
 

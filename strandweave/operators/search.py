@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -28,6 +28,18 @@ def vote_threshold(w: int, k: int, pct: float) -> int:
     return min(int(np.float32(w // k) * np.float32(pct)) + 1, w // k)
 
 
+def usable_window(w: int, k: int, shortest: int | None) -> tuple[int, str | None]:
+    """The window length for sequences of at least ``shortest`` bases, and a warning if it had to be cut down to that.
+    It must hold a k-mer."""
+    if w < k:
+        raise ValueError(f"a window of {w} bases holds no k-mer of {k}")
+    if shortest is None or shortest >= w:
+        return w, None
+    if shortest < k:
+        raise ValueError(f"a sequence of {shortest} bases holds no k-mer of {k}")
+    return shortest, f"windows of {w} bases are cut down to the shortest sequence, {shortest}"
+
+
 def distinct_windows(queries: DataFrame, w: int) -> DataFrame:
     """group_id, win: the distinct windows of length w of each group's sequences, at each place."""
     long = queries.select("group_id", "seq").where(F.length("seq") >= w)
@@ -36,9 +48,11 @@ def distinct_windows(queries: DataFrame, w: int) -> DataFrame:
 
 
 def window_kmers(windows: DataFrame, w: int, k: int, drop_homopolymers: bool = False) -> DataFrame:
-    """group_id, win, at, kmer: the k-mers side by side in each window, without those that hold other letters."""
-    cut = windows.select("group_id", "win", F.explode(F.sequence(F.lit(0), F.lit(w // k - 1))).alias("at"))
-    coded = cut.select("group_id", "win", "at", codec.encode(F.substring(F.col("win"), F.col("at") * k + 1, F.lit(k))).alias("kmer")).where("kmer is not null")
+    """group_id, w1, w2, at, kmer: the k-mers side by side in each window, without those that hold other letters. w1 and
+    w2, 128 bits of hashes, stand for the window, whose letters go no further."""
+    numbered = windows.select("group_id", F.xxhash64("win").alias("w1"), F.xxhash64("win", F.lit(1)).alias("w2"), "win")
+    cut = numbered.select("group_id", "w1", "w2", "win", F.explode(F.sequence(F.lit(0), F.lit(w // k - 1))).alias("at"))
+    coded = cut.select("group_id", "w1", "w2", "at", codec.encode(F.substring(F.col("win"), F.col("at") * k + 1, F.lit(k))).alias("kmer")).where("kmer is not null")
     if drop_homopolymers:
         ones = (4**k - 1) // 3
         coded = coded.where(~F.col("kmer").isin([d * ones for d in range(4)]))
@@ -64,7 +78,7 @@ def where(
         asked = asked.join(background.where("n_genes > 1").select("kmer"), "kmer", "left_anti")
     usable = asked.select("kmer").distinct().join(stats.where(abundant(count_at_least, count_at_most)), "kmer").select("kmer")
     hits = postings.join(usable, "kmer", "left_semi")
-    votes = asked.join(hits, "kmer").groupBy("group_id", "win", *cells).agg(F.count("*").alias("votes")).where(F.col("votes") >= need)
+    votes = asked.join(hits, "kmer").groupBy("group_id", "w1", "w2", *cells).agg(F.count("*").alias("votes")).where(F.col("votes") >= need)
     score = F.lit(1).cast("long") if single_count else F.count("*")
     return votes.groupBy("group_id", *cells).agg(score.alias("score"))
 
@@ -75,8 +89,12 @@ def with_cells(scores: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def display(scores: DataFrame, shown: int = 5) -> DataFrame:
-    """group_id, line: the first cells of a result and how many there are more."""
-    listed = scores.groupBy("group_id").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
-    first = F.concat_ws(", ", F.slice("cells", 1, shown))
-    more = F.size("cells") - shown
-    return listed.select("group_id", F.when(more > 0, F.concat(first, F.lit(" … and "), more, F.lit(" more"))).otherwise(first).alias("line"))
+    """group_id, line: the first cells of a result and how many there are more. Each task drops what can't be shown, so a
+    group of any size is a few cells and a count."""
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("cell_id"))
+    few = scores.select("group_id", "cell_id").withColumn("rank", rank).where(F.col("rank") <= shown)
+    listed = few.groupBy("group_id").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
+    counted = listed.join(scores.groupBy("group_id").agg(F.count("*").alias("n")), "group_id")
+    first = F.concat_ws(", ", "cells")
+    more = F.col("n") - shown
+    return counted.select("group_id", F.when(more > 0, F.concat(first, F.lit(" … and "), more, F.lit(" more"))).otherwise(first).alias("line"))

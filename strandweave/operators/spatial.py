@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ def limits(cells: DataFrame) -> DataFrame:
     return cells.agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
 
 
-def nonsingular(low: float, high: float, expander: float = 0.1, tiny: float = 1e-15) -> tuple[float, float]:
+def nonsingular(low: float, high: float, expander: float = 0.001, tiny: float = 1e-15) -> tuple[float, float]:
     """An increasing range; one that is too narrow, or not finite, is widened."""
     if not (math.isfinite(low) and math.isfinite(high)):
         return -expander, expander
@@ -146,25 +144,33 @@ def radius_search(cells: DataFrame, x: float, y: float, radius: float) -> DataFr
     return cells.where(box).withColumn("distance", away).where(F.col("distance") <= radius)
 
 
-def smooth(pixels: DataFrame, nx: int, ny: int, sigma: float = 1.5, normalise: bool = False) -> DataFrame:
-    """px, py, value of one image after a Gaussian filter, mirrored at its edges. An image, at most nx * ny pixels, is
-    filtered whole by one task; layers go by a column layer."""
+def kernel_of(sigma: float) -> list[float]:
+    """Weights of a Gaussian at the offsets -reach to reach, where reach is 4 sigma."""
     reach = int(4 * sigma + 0.5)
-    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
-    kernel /= kernel.sum()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((nx, ny))
-        np.add.at(image, (pdf["px"].to_numpy(), pdf["py"].to_numpy()), pdf["value"].to_numpy(float))
-        for axis in (0, 1):
-            wide = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
-            image = np.apply_along_axis(np.convolve, axis, wide, kernel, mode="valid")
-        if normalise and image.max() > 0:
-            image = image * 255 / image.max()
-        px, py = np.nonzero(image > 0)
-        return pd.DataFrame({"layer": pdf["layer"].iloc[0], "px": px, "py": py, "value": image[px, py]})
-
-    layered = pixels if "layer" in pixels.columns else pixels.withColumn("layer", F.lit(0))
-    return layered.select(F.col("layer").cast("int"), "px", "py", "value").groupBy("layer").applyInPandas(run, "layer int, px int, py int, value double")
+    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    return [w / sum(weights) for w in weights]
 
 
+def smooth(pixels: DataFrame, nx: int, ny: int, sigma: float = 1.5, normalise: bool = False) -> DataFrame:
+    """layer, px, py, value of images after a Gaussian filter, mirrored at their edges; pixels of 0 are left out. Layers go
+    by a column layer, if there is one.
+
+    The filter goes along each axis in turn: every pixel gives its share to those within reach, also as the mirror images
+    of it that lie beyond the edges, and the shares are added up. Pixels are spread over all tasks, whatever an image's
+    size. ``normalise`` scales each layer's largest value to 255; one that is 0 stays."""
+    kernel = kernel_of(sigma)
+    reach = len(kernel) // 2
+    layered = pixels if "layer" in pixels.columns else pixels.withColumn("layer", F.lit(0))
+    out = layered.select(F.col("layer").cast("int").alias("layer"), F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.col("value").cast("double").alias("value"))
+    for axis, n in (("px", nx), ("py", ny)):
+        turns = range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2)
+        images = F.array(*[c + 2 * n * j for j in turns for c in (F.col(axis), -F.col(axis) - 1)])
+        shares = F.array(*[F.struct(F.lit(d - reach).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(kernel)])
+        spread = out.withColumn("_e", F.explode(images)).where(F.col("_e").between(-reach, n - 1 + reach)).withColumn("_s", F.explode(shares))
+        moved = spread.withColumn(axis, F.col("_e") + F.col("_s.d")).where(F.col(axis).between(0, n - 1))
+        out = moved.groupBy("layer", "px", "py").agg(F.sum(F.col("value") * F.col("_s.w")).alias("value"))
+    out = out.where("value > 0")
+    if normalise:
+        most = out.groupBy("layer").agg(F.max("value").alias("most"))  # a row an image
+        out = out.join(most, "layer").select("layer", "px", "py", (F.col("value") * 255 / F.col("most")).alias("value"))
+    return out.select("layer", "px", "py", "value")

@@ -154,8 +154,8 @@ def test_cell_matrices(spark, reads):
 
 
 def test_intervals(spark):
-    got = windows.group_intervals(frame(spark, [(1, p) for p in (1, 2, 4, 7, 8, 9, 12)], "key long, pos long"), 2)
-    assert sorted((r.start, r.end) for r in got.collect()) == [(1, 4), (7, 9), (12, 12)]
+    got = windows.group_intervals(frame(spark, [(1, p) for p in (10, 15, 20, 40, 46, 90)] + [(2, 16)], "key long, pos long"), 5)
+    assert sorted((r.key, r.start, r.end) for r in got.collect()) == [(1, 10, 20), (1, 40, 40), (1, 46, 46), (1, 90, 90), (2, 16, 16)]
 
 
 def test_space(spark):
@@ -164,8 +164,9 @@ def test_space(spark):
     bins, matrix = spatial.aggregate_bins(binned, grid.select("cell_id", F.lit(1).alias("feature"), "value"))
     known = binned.where("bin is not null").count()
     assert bins.agg(F.sum("n_joined")).first()[0] == known == matrix.agg(F.sum("value")).first()[0]
-    assert spatial.nonsingular(1.0, 1.0) == (0.9, 1.1)
-    assert spatial.nonsingular(0.0, 0.0) == (-0.1, 0.1)
+    assert spatial.nonsingular(1.0, 1.0, 0.1) == (0.9, 1.1)
+    assert spatial.nonsingular(0.0, 0.0) == (-0.001, 0.001)
+    assert spatial.nonsingular(3.0, -1.0) == (-1.0, 3.0)
     flat = spatial.smooth(frame(spark, [(5, 5, 4.0)], "px int, py int, value double"), 11, 11, 1.0)
     assert flat.agg(F.sum("value")).first()[0] == pytest.approx(4.0, rel=1e-3)
     nodes = spatial.mesh(spark, (0.0, 90.0, 0.0, 90.0), 15.0).collect()
