@@ -18,12 +18,22 @@ ORACLE_SQL: dict[str, str] = {}
 K, W = 8, 24
 
 
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of a table reader: ``t("documents")`` is that table."""
 
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return build(Tables(spark, sf_dir))
 
         run.__name__ = name
         QUERIES[name] = run
@@ -64,4 +74,4 @@ WORDS = f"words AS (SELECT DISTINCT cell_id, substr(seq, i, {K}) AS kmer FROM ce
 MATRIX = "matrix AS (SELECT l_suppkey AS cell_id, l_partkey AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 POINTS = "points AS (SELECT vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label AS cluster, abs(CAST(embedding[3] AS DOUBLE)) AS value FROM embeddings)"
 
-from . import cell_plans, index_plans, space_plans, string_plans  # noqa: E402, F401
+from . import cell_plans, index_plans, query_plans, space_plans, string_plans  # noqa: E402, F401

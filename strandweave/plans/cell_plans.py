@@ -20,18 +20,6 @@ def _(t):
     return cells.barcode_rank(cells.qc_metrics(matrix_of(t)))
 
 
-@query("ordmag_threshold")
-def _(t):
-    qc = cells.qc_metrics(matrix_of(t))
-    expected, threshold = cells.ordmag_expected(cells.histogram_of_totals(qc))
-    return qc.sparkSession.createDataFrame([(expected, threshold)], "expected long, threshold double")
-
-
-@query("cells_called")
-def _(t):
-    return cells.call_cells(cells.qc_metrics(matrix_of(t)))
-
-
 @query("filter_cells_genes", f"WITH {_QC}, kept AS (SELECT m.* FROM matrix m SEMI JOIN (SELECT cell_id FROM qc WHERE total >= 1000 AND n_features >= 20) q USING (cell_id)) SELECT * FROM kept SEMI JOIN (SELECT feature FROM kept WHERE value > 0 GROUP BY feature HAVING count(*) >= 3) f USING (feature)")
 def _(t):
     return cells.filter_matrix(matrix_of(t), 1000, 20, 3)
@@ -137,6 +125,12 @@ def markers_of(t):
 _MARKERS = "mk AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS cell_type, p_brand AS gene FROM part)"
 
 
+@query("annotation_markers", "SELECT DISTINCT string_split(p_type, ' ')[1] AS cell_type, p_brand AS gene FROM part WHERE p_size % 3 = 0")
+def _(t):
+    named = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("technical_"), F.substring_index("p_type", " ", 1))).when(F.col("p_size") % 3 == 2, F.concat(F.lit("HALLMARK_"), "p_type")).otherwise(F.substring_index("p_type", " ", 1))
+    return annotate.annotation_markers(t("part").select(named.alias("cell_type"), F.col("p_brand").alias("gene"))).distinct()
+
+
 @query("cluster_fold_change", f"WITH {_MEANS} SELECT cluster, feature, round(mean_in, 6) AS mean_in, round(mean_rest, 6) AS mean_rest, round(diff, 6) AS diff, round(fold_change, 4) AS fold_change FROM d")
 def _(t):
     m = annotate.cluster_means(brands_of(t), clusters_of(t))
@@ -166,7 +160,10 @@ def _(t):
     return annotate.annotate_clusters(marker_scores_of(t), clusters_of(t)).withColumn("score", F.round("score", 6))
 
 
-@query("top_markers")
+@query(
+    "top_markers",
+    f"WITH {_MEANS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY diff DESC, feature) AS r FROM d) SELECT cluster, string_agg(format('{{}} ({{:.2f}}x)', feature, fold_change), ', ' ORDER BY r) AS markers FROM r WHERE r <= 5 GROUP BY cluster",
+)
 def _(t):
     return annotate.top_markers(annotate.cluster_means(brands_of(t), clusters_of(t)))
 
@@ -223,9 +220,17 @@ def _(t):
     return annotate.rank_genes(brands_of(t), clusters_of(t)).select("cluster", "feature", (F.round("t", 5) + 0.0).alias("t"))
 
 
-@query("highly_variable")
+@query(
+    "highly_variable",
+    f"""WITH {_QC}, x AS (SELECT feature, ln(1 + value * (SELECT quantile_cont(total, 0.5) FROM qc) / total) AS v FROM matrix JOIN qc USING (cell_id)), c AS (SELECT count(*) AS n FROM supplier),
+s AS (SELECT feature, sum(v) / any_value(n) AS mean, (sum(v * v) - sum(v) * sum(v) / any_value(n)) / (any_value(n) - 1) AS var FROM x, c GROUP BY feature), b AS (SELECT feature, ln(1 + mean) AS m, ln(var / mean) AS dispersion FROM s WHERE var > 0),
+e AS (SELECT min(m) AS lo, max(m) AS hi FROM b), g AS (SELECT feature, dispersion, CASE WHEN hi > lo THEN least(floor((m - lo) * 20 / (hi - lo)), 19) ELSE 0 END AS bin FROM b, e),
+t AS (SELECT bin, avg(dispersion) AS bm, stddev_samp(dispersion) AS bs FROM g GROUP BY bin)
+SELECT feature, round(dispersion, 5) AS dispersion, round(CASE WHEN bs > 0 THEN (dispersion - bm) / bs ELSE 1 END, 4) AS z FROM g JOIN t USING (bin) ORDER BY round(CASE WHEN bs > 0 THEN (dispersion - bm) / bs ELSE 1 END, 9) DESC, feature LIMIT 200""",
+)
 def _(t):
-    return annotate.highly_variable(cells.normalize_log1p(matrix_of(t)), t("supplier").count(), top=200)
+    found = annotate.highly_variable(cells.normalize_log1p(matrix_of(t)), t("supplier").count(), top=200)
+    return found.select("feature", F.round("dispersion", 5).alias("dispersion"), F.round("z", 4).alias("z"))
 
 
 @query("kmeans_clusters")

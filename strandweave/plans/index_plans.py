@@ -13,19 +13,35 @@ from ..streaming import ingest
 from .catalog import CELLS, CODE, GROUPS, WORDS, K, W, cells_of, groups_of, query
 
 NEED = search.vote_threshold(W, K, 0.65)
-ALL = {"count_at_least": 0, "count_at_most": 10_000}
+#: No bounds on how many cells hold a k-mer.
+ALL = {"count_at_least": 0, "count_at_most": 1 << 62}
+
+
+_stored: dict[tuple[str, str], str] = {}
 
 
 def index_of(t):
+    """Postings and stats, made anew."""
     p = P.build_postings(cells_of(t), K, overlapping=True)
     return p, P.kmer_stats(p)
 
 
-def where_sql(groups: str = GROUPS, single: bool = False, lo: int = 0, background: str = "") -> str:
+def stored_index(t):
+    """Postings and stats of an index that is written once for a folder of tables in an application; what searches ask
+    for is met by the footers of its row groups and by its stats."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _stored:
+        path = scratch(t.spark, "index")
+        P.write_index(P.build_postings(cells_of(t), K, overlapping=True), path, {"kmer_size": K, "n_cells": t("documents").count()})
+        _stored[key] = path
+    return P.open_index(t.spark, _stored[key])[:2]
+
+
+def where_sql(groups: str = GROUPS, single: bool = False, lo: int = 0, hi: int = 1 << 62, background: str = "") -> str:
     """``groups``: a CTE groups(group_id, seq)."""
     score = "1" if single else "count(*)"
     return f"""
-WITH {CELLS}, {WORDS}, {groups}, stats AS (SELECT kmer, count(*) AS n FROM words GROUP BY kmer HAVING count(*) > {lo} AND count(*) < 10000),
+WITH {CELLS}, {WORDS}, {groups}, stats AS (SELECT kmer, count(*) AS n FROM words GROUP BY kmer HAVING count(*) > {lo} AND count(*) < {hi}),
 wins AS (SELECT DISTINCT group_id, substr(seq, i, {W}) AS win FROM groups, LATERAL (SELECT unnest(range(1, length(seq) - {W - 2})) AS i) WHERE length(seq) >= {W}),
 asked AS (SELECT group_id, win, j, substr(win, j * {K} + 1, {K}) AS kmer FROM wins, (SELECT unnest(range({W // K})) AS j)),
 kept AS (SELECT * FROM asked SEMI JOIN stats USING (kmer) {background}),
@@ -55,7 +71,7 @@ def _(t):
 
 @query("csr_offsets", f"WITH {CELLS}, {WORDS}, n AS (SELECT {CODE.format('kmer')} AS kmer, count(*) AS n FROM words GROUP BY ALL) SELECT kmer, n AS n_cells, coalesce(CAST(sum(n) OVER (ORDER BY kmer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS \"offset\" FROM n")
 def _(t):
-    return P.kmer_arrays(index_of(t)[0]).select("kmer", F.size("cells").cast("long").alias("n_cells"), "offset")
+    return P.kmer_arrays(index_of(t)[0], k=K).select("kmer", F.size("cells").cast("long").alias("n_cells"), "offset")
 
 
 _WANTED = f"wanted AS (SELECT DISTINCT substr(seq, i, {K}) AS kmer FROM groups, LATERAL (SELECT unnest(range(1, length(seq) - {K - 2})) AS i) WHERE length(seq) >= {K})"
@@ -66,7 +82,7 @@ def find_sql(lo: int, hi: int) -> str:
 
 
 def find(t, lo: int, hi: int):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     wanted = P.kmers_of(groups_of(t).select("seq"), K, overlapping=True)
     return search.find_kmer(wanted, p, stats, lo, hi)
 
@@ -83,13 +99,13 @@ def _(t):
 
 @query("where_basic", where_sql())
 def _(t):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     return search.where(groups_of(t), p, stats, K, W, 0.65, **ALL)
 
 
-@query("where_single_count", where_sql(single=True, lo=10))
+@query("where_single_count", where_sql(single=True, lo=10, hi=10_000))
 def _(t):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     return search.where(groups_of(t), p, stats, K, W, 0.65, 10, 10_000, single_count=True)
 
 
@@ -98,7 +114,7 @@ _GROUPED = GROUPS.replace("item_id AS group_id", "item_id % 7 AS group_id")
 
 @query("where_groups", where_sql(_GROUPED))
 def _(t):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     return search.where(groups_of(t).withColumn("group_id", F.col("group_id") % 7), p, stats, K, W, 0.65, **ALL)
 
 
@@ -136,7 +152,7 @@ def items_of(t):
 
 
 def quantified(t):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     return quant.quantify(items_of(t), p, stats, K, W, pct_threshold=0.65, **ALL)
 
 
@@ -145,7 +161,7 @@ _SHARED = f"shared AS (SELECT kmer FROM (SELECT run, substr(seq, i, {K}) AS kmer
 
 @query("where_background", where_sql(f"{GROUPS}, {_ITEMS.split(', long AS')[0]}, {_SHARED}", background="ANTI JOIN shared USING (kmer)"))
 def _(t):
-    p, stats = index_of(t)
+    p, stats = stored_index(t)
     return search.where(groups_of(t), p, stats, K, W, 0.65, **ALL, background=quant.background_model(items_of(t), K))
 
 
@@ -205,16 +221,12 @@ def _(t):
     return P.merge_lanes(P.build_postings(forward, K, overlapping=True), P.build_postings(backward, K, overlapping=True))
 
 
-_SAMPLES = ("de", "en", "es", "fr")
-
-
-@query("merge_samples", f"WITH {CELLS}, {WORDS} SELECT {CODE.format('kmer')} AS kmer, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS sample_id, cell_id FROM words JOIN documents ON doc_id = cell_id")
+@query("merge_samples", f"WITH {CELLS}, {WORDS}, s AS (SELECT lang, CAST(row_number() OVER (ORDER BY coalesce(lang, '')) - 1 AS INTEGER) AS sample_id FROM (SELECT DISTINCT lang FROM documents)) SELECT {CODE.format('kmer')} AS kmer, sample_id, cell_id FROM words JOIN documents ON doc_id = cell_id JOIN s ON s.lang IS NOT DISTINCT FROM documents.lang")
 def _(t):
-    cells = t("documents").select("lang", F.col("doc_id").alias("cell_id"), dna.bases_only(F.col("text")).alias("seq"))
-    merged = P.merge_samples({s: P.build_postings(cells.where(F.col("lang") == s).drop("lang"), K, overlapping=True) for s in _SAMPLES})[0]
-    # as in SQL, cells of any other or no language have postings of no sample
-    others = cells.where(F.col("lang").isNull() | ~F.col("lang").isin(*_SAMPLES)).drop("lang")
-    return merged.unionByName(P.build_postings(others, K, overlapping=True).select("kmer", F.lit(None).cast("int").alias("sample_id"), "cell_id"))
+    cells = t("documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("doc_id").alias("cell_id"), dna.bases_only(F.col("text")).alias("seq"))
+    # languages, of which there are few, are samples; rows without one are a sample too
+    samples = [r[0] for r in cells.select("lang").distinct().collect()]
+    return P.merge_samples({s: P.build_postings(cells.where(F.col("lang") == s).drop("lang"), K, overlapping=True) for s in samples})[0]
 
 
 _TILED = f"tiles AS (SELECT DISTINCT cell_id, substr(seq, least(j * {K}, length(seq) - {K}) + 1, {K}) AS kmer FROM cells, LATERAL (SELECT unnest(range(0, CAST(ceil(length(seq) / {K}) AS BIGINT))) AS j) WHERE length(seq) >= {K})"
@@ -255,6 +267,19 @@ def _(t):
     return cellxmer.cell_by_bucket(index_of(t)[0], K, w=4, buckets=100)
 
 
+@query("index_postings_round_trip", f"WITH {CELLS}, {WORDS} SELECT {CODE.format('kmer')} AS kmer, cell_id FROM words")
+def _(t):
+    return stored_index(t)[0]
+
+
+@query("index_meta", f"SELECT {K} AS kmer_size, count(*) AS n_cells, 24 AS stride FROM documents")
+def _(t):
+    stored_index(t)
+    meta = t.spark.read.parquet(f"{_stored[t.spark.sparkContext.applicationId, t.folder]}/meta")
+    field = lambda c: F.get_json_object("meta", f"$.{c}")
+    return meta.select(field("kmer_size").cast("int").alias("kmer_size"), field("n_cells").cast("long").alias("n_cells"), field("stride").cast("int").alias("stride"))
+
+
 @query("index_round_trip", f"WITH {CELLS}, {WORDS} SELECT {CODE.format('kmer')} AS kmer, count(*) AS n_cells FROM words GROUP BY kmer")
 def _(t):
     p = index_of(t)[0]
@@ -279,5 +304,10 @@ def scratch(spark, label: str) -> str:
     """A folder that executors share: under spark.checkpoint.dir, or a local one where the session names none."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = kept.get() if kept.isDefined() else None
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"strandweave-{label}-")

@@ -74,9 +74,14 @@ def _(t):
     return matrix.select((F.col("bin.x") + 0.0).alias("x"), (F.col("bin.y") + 0.0).alias("y"), F.round("value", 6).alias("value"))
 
 
-@query("mesh_lattice", "SELECT count(*) AS nodes FROM (SELECT unnest(range(17))) a, (SELECT unnest(range(10))) b, (SELECT unnest(range(2))) c")
+_GRID = f"""{POINTS}, r AS (SELECT (floor(max(x) / 0.025) + 1)::BIGINT AS nx, (floor(max(y) / {_DY!r}::DOUBLE) + 1)::BIGINT AS ny FROM points)
+SELECT round(i * 0.025::DOUBLE + h * 0.0125::DOUBLE, 6) AS node_x, round(j * {_DY!r}::DOUBLE + h * {_DY / 2!r}::DOUBLE, 6) AS node_y FROM r, LATERAL (SELECT unnest(range(nx)) AS i) a, LATERAL (SELECT unnest(range(ny)) AS j) b, (SELECT unnest(range(2)) AS h) c"""
+
+
+@query("mesh_lattice", f"WITH {_GRID}")
 def _(t):
-    return spatial.mesh(t("region").sparkSession, (0.0, 8.0, 0.0, 8.0), 0.5).agg(F.count("*").alias("nodes"))
+    xmax, ymax = spatial.limits(points_of(t)).select("xmax", "ymax").first()
+    return spatial.mesh(t.spark, (0.0, xmax, 0.0, ymax), 0.025).select(F.round("node_x", 6).alias("node_x"), F.round("node_y", 6).alias("node_y"))
 
 
 @query(
@@ -96,9 +101,51 @@ def _(t):
     return spatial.scale_intensity(points_of(t)).select("cell_id", F.round("value", 6).alias("value"))
 
 
-@query("smoothed_raster")
+def _smoothed(n: int) -> str:
+    """SQL of both passes of the filter, mirrored at the edges, and of the scaling."""
+    kernel = spatial.kernel_of(1.5)
+    reach = len(kernel) // 2
+    shares = ", ".join(f"({d - reach}, {w!r}::DOUBLE)" for d, w in enumerate(kernel))
+    # the pixel that a place beyond the edge mirrors
+    inner = f"CASE WHEN {{0}} < 0 THEN -1 - ({{0}}) WHEN {{0}} >= {n} THEN {2 * n - 1} - ({{0}}) ELSE {{0}} END"
+    places = f"(SELECT unnest(range({n})) AS o) o, k"
+    return f"""k(d, w) AS (VALUES {shares}),
+mx AS (SELECT o, {inner.format("o + d")} AS px, w FROM {places}), sx AS (SELECT mx.o AS px, py, sum(value * w) AS value FROM img JOIN mx ON mx.px = img.px GROUP BY ALL),
+sy AS (SELECT sx.px, mx.o AS py, sum(value * w) AS value FROM sx JOIN mx ON mx.px = sx.py GROUP BY ALL)"""
+
+
+@query(
+    "smoothed_raster",
+    f"WITH {POINTS}, img AS (SELECT CAST(least(floor((x + 0.5) * 64 / 1.0), 63) AS INTEGER) AS px, CAST(least(floor((y + 0.5) * 64 / 1.0), 63) AS INTEGER) AS py, sum(value) AS value FROM points WHERE x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5 GROUP BY ALL),"
+    f" {_smoothed(64)} SELECT 0 AS layer, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, round(value * 255 / (SELECT max(value) FROM sy), 5) AS value FROM sy WHERE value > 0",
+)
+def _(t):
+    return spatial.smooth(spatial.histogram2d(points_of(t), 64, 64, EXTENT), 64, 64, normalise=True).withColumn("value", F.round("value", 5))
+
+
+@query(
+    "hexagon_matrix",
+    f"WITH {_NODES.replace('0.025', repr(math.sqrt(3) * 0.03) + '::DOUBLE').replace(repr(_DY), repr(3 * 0.03))}, put AS (SELECT value, CASE WHEN da <= db THEN ax ELSE bx END AS nx, CASE WHEN da <= db THEN ay ELSE b_y END AS ny FROM far) SELECT round(nx, 6) + 0.0 AS x, round(ny, 6) + 0.0 AS y, round(sum(value), 6) AS value FROM put GROUP BY ALL",
+)
+def _(t):
+    points = points_of(t)
+    _, matrix = spatial.meshed_matrix(points, points.select("cell_id", F.lit(1).alias("feature"), "value"), "hexagon", 0.03)
+    return matrix.select((F.col("bin.x") + 0.0).alias("x"), (F.col("bin.y") + 0.0).alias("y"), F.round("value", 6).alias("value"))
+
+
+_RANGES = "(SELECT CASE WHEN vec_id % 50 = 0 THEN -vec_id - 1 ELSE label END AS grp, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings UNION ALL SELECT -1000000, 0.0::DOUBLE)"
+
+
+@query(
+    "nonsingular_ranges",
+    f"SELECT grp, CASE WHEN hi - lo > greatest(abs(lo), abs(hi)) * 1e-15 THEN lo WHEN lo = 0 THEN -0.001 ELSE lo - 0.001 * abs(lo) END AS low, CASE WHEN hi - lo > greatest(abs(lo), abs(hi)) * 1e-15 THEN hi WHEN lo = 0 THEN 0.001 ELSE hi + 0.001 * abs(hi) END AS high FROM (SELECT grp, min(x) AS lo, max(x) AS hi FROM {_RANGES} GROUP BY grp)",
+)
 def _(t):
-    return spatial.smooth(spatial.histogram2d(points_of(t), 64, 64, EXTENT), 64, 64, normalise=True)
+    at = t("embeddings").select(F.when(F.col("vec_id") % 50 == 0, -F.col("vec_id") - 1).otherwise(F.col("label")).alias("grp"), F.col("embedding")[0].cast("double").alias("x"))
+    at = at.union(t.spark.sql("SELECT -1000000L, 0.0D"))
+    ends = at.groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # a row a group
+    rows = [(g, *spatial.nonsingular(lo, hi)) for g, lo, hi in ends.collect()]
+    return t.spark.createDataFrame(rows, "grp long, low double, high double")
 
 
 _EVENTS = "e AS (SELECT DISTINCT user_id AS key, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pos FROM events)"

@@ -56,10 +56,10 @@ def _(t):
 
 @query(
     "kmers_sliding",
-    f"WITH g AS (SELECT item_id, {DNA.format('text')} AS s FROM benchmark) SELECT item_id, i - 1 AS pos, substr(s, i, {K}) AS kmer FROM g, LATERAL (SELECT unnest(range(1, length(s) - {K - 2})) AS i) WHERE length(s) >= {K}",
+    f"WITH c AS (SELECT doc_id, {DNA.format('text')} AS s FROM documents) SELECT doc_id, i - 1 AS pos, substr(s, i, {K}) AS kmer FROM c, LATERAL (SELECT unnest(range(1, length(s) - {K - 2})) AS i) WHERE length(s) >= {K}",
 )
 def _(t):
-    return groups_of(t).select(F.col("group_id").alias("item_id"), F.posexplode(codec.sliding(F.col("seq"), K)).alias("pos", "kmer")).withColumn("pos", F.col("pos").cast("long"))
+    return cells_of(t).select(F.col("cell_id").alias("doc_id"), F.posexplode(codec.sliding(F.col("seq"), K)).alias("pos", "kmer")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("prefix_suffix_split", f"{_WORDS}, c AS (SELECT item_id, pos, {CODE.format('kmer')} AS code FROM w) SELECT item_id, pos, code >> 8 AS prefix, code & 255 AS suffix FROM c")
@@ -98,28 +98,6 @@ def _(t):
     return groups_of(t).select(F.col("group_id").alias("item_id"), F.round(dna.complexity(F.col("seq"), 4) + 0.0, 6).alias("entropy"))
 
 
-@query("mask_low_complexity")
-def _(t):
-    return groups_of(t).select(F.col("group_id").alias("item_id"), dna.mask_low_complexity(F.col("seq"), n=4).alias("masked"))
-
-
-@query(
-    "query_classify",
-    "WITH f AS (SELECT item_id, text, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ' ') AS f FROM benchmark) SELECT item_id, CASE WHEN f IS NULL THEN 'error' WHEN f LIKE '>%' THEN 'dna'"
-    r" WHEN regexp_matches(upper(f), '^[ACGTNU]+$') THEN 'dna' WHEN regexp_matches(upper(f), '^ENS[A-Z]*[GTPE][0-9]+(\.[0-9]+)?$') OR lower(f) LIKE 'ensembl:%' THEN 'ensembl'"
-    r" WHEN regexp_matches(f, '^(gene:)?[A-Za-z0-9_.\-]+(;.*)?$') THEN 'gene' ELSE 'error' END AS kind FROM f",
-)
-def _(t):
-    return t("benchmark").select("item_id", dna.classify_query(F.col("text")).alias("kind"))
-
-
-@query("gene_string_parse", "SELECT item_id, 'g' || item_id AS id, 'homo_sapiens' AS species, 'cdna' AS type, item_id AS start, item_id + 7 AS \"end\" FROM benchmark")
-def _(t):
-    text = F.concat(F.lit("gene:g"), F.col("item_id"), F.lit(";type:cdna;split:"), F.col("item_id"), F.lit(","), F.col("item_id") + 7)
-    p = dna.parse_gene_query(text)
-    return t("benchmark").select("item_id", p["id"].alias("id"), p["species"].alias("species"), p["type"].alias("type"), p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end"))
-
-
 @query(
     "tokenise_query",
     r"WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(trim(text, ' '), '[,\s]+'), lambda x: x <> '') AS w FROM benchmark)"
