@@ -33,6 +33,10 @@ BITS = 64
 GROUP_LIMIT = 1 << 16
 #: Partitions beyond limit + 1 that are tried, which leave some without a key.
 SPARE_PARTS = 1
+#: What a key costs to make, shuffle and gather, about a microsecond, in comparisons of about a nanosecond.
+KEY_COST = 1000.0
+#: Comparisons that are made at once; they should stay in a processor's cache.
+COMPARED = 1 << 18
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -181,8 +185,7 @@ def probe_masks(n: int, both: np.ndarray, limit: int) -> list[int]:
         costs = []
         for bits in groups:
             near = within(pair, bits, limit)
-            # a key costs about as much to shuffle as a few comparisons
-            costs.append([0.0, *(4.0 * n * comb(len(bits), min(t, len(bits))) + n * n / 2 * near[t] for t in range(limit + 1))])
+            costs.append([0.0, *(KEY_COST * n * comb(len(bits), min(t, len(bits))) + n * n / 2 * near[t] for t in range(limit + 1))])
         cost, thresholds = allocate(costs, limit + 1)
         if cost < chosen[0]:
             chosen = (cost, groups, thresholds)
@@ -219,10 +222,14 @@ def forest(fps: np.ndarray, limit: int, others: np.ndarray | None = None, total:
             i = root[i]
         return i
 
-    def near(block: np.ndarray) -> np.ndarray:
+    def near(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         away = np.bitwise_count(fps[block, None] ^ fps[None])
-        linked = away <= limit
-        return linked if others is None else linked & (away + np.bitwise_count(others[block, None] ^ others[None]) <= total)
+        i, j = np.nonzero(away <= limit)
+        i_of = block[i]
+        if others is not None:
+            linked = away[i, j] + np.bitwise_count(others[i_of] ^ others[j]) <= total
+            i_of, j = i_of[linked], j[linked]
+        return i_of, j
 
     def join(i: int, j: int) -> None:
         a, b = top(i), top(j)
@@ -236,17 +243,16 @@ def forest(fps: np.ndarray, limit: int, others: np.ndarray | None = None, total:
         if not len(alone):
             break
         pivot = alone[len(alone) // 2]
-        for j in np.flatnonzero(near(np.array([pivot]))[0]):
-            join(int(pivot), int(j))
+        for j in near(np.array([pivot]))[1].tolist():
+            join(int(pivot), j)
         tops = np.array([top(i) for i in range(n)])
         values, sizes = np.unique(tops, return_counts=True)
         alone = np.flatnonzero(tops != values[np.argmax(sizes)])
-    step = max(1, (1 << 22) // max(n, 1))
+    step = max(1, COMPARED // max(n, 1))
     for start in range(0, len(alone), step):
-        block = alone[start : start + step]
-        for i, j in zip(*np.nonzero(near(block)), strict=True):
-            if block[i] != j:
-                join(int(block[i]), int(j))
+        i, j = near(alone[start : start + step])
+        for a, b in zip(i[i != j].tolist(), j[i != j].tolist(), strict=True):
+            join(a, b)
     return edges
 
 
