@@ -46,13 +46,13 @@ def _at(left: DataFrame, column: str) -> Column:
 
 
 def climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """steps[k] (tree, id, up): the message 2 ** k above each that has one; and leaves (tree, leaf, length, total): the messages that
-    none answers, with the messages and the sum of scores from the root to them.
+    """steps[k] (tree, id, up): the message 2 ** k above each that has one; and leaves (tree, leaf, length, total): the
+    messages that none answers, with the number of messages and the sum of scores from the root to them.
 
     ``messages`` has tree, id, parent, score. Of rows that repeat a tree and id, one counts: that of the smallest
-    parent, then of the smallest score. A parent that doesn't exist makes a root. Messages that never reach a root, as they run into a cycle,
-    have no leaf. All joins are on (tree, id), which no skew touches; their number grows with the logarithm of the
-    deepest path.
+    parent, then of the smallest score. A parent that doesn't exist makes a root. Messages that never reach a root, as
+    they run into a cycle, have no leaf. All joins are on (tree, id), which no skew touches; their number grows with the
+    logarithm of the deepest path.
     """
     first = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("first")
     ids = staged(messages.where("id is not null").groupBy("tree", "id").agg(first).select("tree", "id", "first.*"), "messages")
