@@ -140,11 +140,12 @@ def cluster_cells(matrix: DataFrame, features: list, k: int = 8, components: int
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    index = {f: i for i, f in enumerate(features)}
-    known = matrix.where(F.col("feature").isin(features))
-    place = F.element_at(F.create_map(*[F.lit(x) for p in index.items() for x in p]), F.col("feature"))
-    entries = known.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("value").cast("double")))).alias("e"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(index) - 1)), lambda i: F.coalesce(F.try_element_at("e", i), F.lit(0.0)))
+    # the list is at hand, so the size of its table is known; PCA takes no more than 65,535 features
+    spark, kind = matrix.sparkSession, matrix.schema["feature"].dataType.simpleString()
+    places = spark.createDataFrame([(f, i) for i, f in enumerate(features)], f"feature {kind}, place int")
+    known = matrix.join(F.broadcast(places), "feature")
+    entries = known.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("value").cast("double")))).alias("e"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.coalesce(F.try_element_at("e", i), F.lit(0.0)))
     vectors = entries.select("cell_id", array_to_vector(dense).alias("vector"))
-    reduced = PCA(k=min(components, len(index)), inputCol="vector", outputCol="features").fit(vectors).transform(vectors)
+    reduced = PCA(k=min(components, len(features)), inputCol="vector", outputCol="features").fit(vectors).transform(vectors)
     return KMeans(k=k, seed=seed).fit(reduced).transform(reduced).select("cell_id", F.col("prediction").alias("cluster"))

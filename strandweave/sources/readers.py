@@ -321,6 +321,37 @@ def gene_database(records: DataFrame) -> DataFrame:
     return named.where("gene_name != '' or ensembl_id != ''").groupBy("gene_name", "ensembl_id").agg(F.max_by("seq", "record_no").alias("sequence"))
 
 
+class GeneStore:
+    """A gene database in a folder of Parquet. Genes that are put again replace their older rows when it is read, so that
+    putting is an append, which other readers never see half done."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, genes: DataFrame) -> None:
+        """Adds gene_name, ensembl_id, sequence, of a later version than all that are there."""
+        last = self._rows().agg(F.max("version")).first()[0] if self.exists() else None
+        version = F.lit((last or 0) + 1).cast("long").alias("version")
+        genes.select("gene_name", "ensembl_id", "sequence", version).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._rows().groupBy("gene_name", "ensembl_id").agg(F.max_by("sequence", "version").alias("sequence"))
+
+    def exists(self) -> bool:
+        """Whether anything was ever put."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def known(self, names: DataFrame) -> DataFrame:
+        """name, known: whether each distinct ``name`` is a gene's name or id, in any case."""
+        found = look_up_gene(self.read(), names).select("name").distinct().withColumn("known", F.lit(True))
+        return names.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema("gene_name string, ensembl_id string, sequence string, version long").parquet(self.path)
+
+
 def look_up_gene(database: DataFrame, names: DataFrame) -> DataFrame:
     """name, sequence: of each name that is a gene's name or id, in any case. Two equality joins, not one with OR."""
     wanted = names.select("name", F.lower("name").alias("_n")).distinct()

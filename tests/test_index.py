@@ -1,5 +1,6 @@
 """Crafted reads through index, search, merging and streaming."""
 
+import math
 import os
 import random
 
@@ -192,6 +193,121 @@ def test_expected_cells(spark):
     assert cells.good_turing(frame(spark, [(i, c) for i, c in enumerate([0, 1, 1, 2, 3, 9])], "feature long, value long")).agg(F.sum("p")).first()[0] == pytest.approx(1)
 
 
+def brute_empty_drops(matrix, threshold, low, high, least, alpha):
+    """matrix: {cell: {feature: count}}."""
+    totals = {c: sum(v.values()) for c, v in matrix.items()}
+    called = {c for c, t in totals.items() if t > threshold}
+    profile = {f: 0.0 for v in matrix.values() for f in v}
+    for c, v in matrix.items():
+        if low <= totals[c] <= high and c not in called:
+            for f, n in v.items():
+                profile[f] += n
+    counts = {}
+    for n in profile.values():
+        if n > 0:
+            counts[n] = counts.get(n, 0) + 1
+    x, y, whole = [math.log(r) for r in counts], [math.log(n) for n in counts.values()], sum(r * n for r, n in counts.items())
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    unseen, ones = sum(n <= 0 for n in profile.values()), counts.get(1.0, 0)
+    raw = {f: (n + 1) * counts.get(n + 1, math.exp(my - slope * mx + slope * math.log(n + 1))) / (counts[n] * whole) if n > 0 else (ones / whole if ones else 0.1) / unseen for f, n in profile.items()}
+    p = {f: v / sum(raw.values()) for f, v in raw.items()}
+    tests = []
+    for c, v in matrix.items():
+        if high < totals[c] <= threshold and totals[c] >= least:
+            statistic, df = 2 * sum(n * math.log(n / max(p[f] * totals[c], 1e-10)) for f, n in v.items()), len(v) - 1
+            half, k, tail = statistic / 2, df / 2, 1.0
+            # upper tail of chi-squared by integrating its density over even steps of the variable's logarithm
+            if df > 0:
+                grid = [half * math.exp(i / 4000) for i in range(16_001)]
+                dens = [math.exp(k * math.log(g) - g - math.lgamma(k)) for g in grid]
+                tail = sum((a + b) / 2 for a, b in zip(dens, dens[1:])) / 4000
+            tests.append((tail, c))
+    cut = max((q for i, (q, _) in enumerate(sorted(tests)) if q <= (i + 1) * alpha / len(tests)), default=-1)
+    return {c: "OrdMag" for c in called} | {c: "EmptyDrops" for q, c in tests if q <= cut}
+
+
+def test_empty_drops_against_brute_force(spark):
+    r = random.Random(4)
+    matrix = {}
+    for c in range(160):
+        size, skew = (r.randint(900, 1200), 3) if c < 20 else (r.randint(150, 300), 3 if c < 60 else 1) if c < 90 else (r.randint(5, 60), 1)
+        weights = [1 + (f % 4 == 0) * 9 * (skew > 1) + f % 3 for f in range(40)]
+        matrix[c] = {}
+        for f in r.choices(range(40), weights, k=size):
+            matrix[c][f] = matrix[c].get(f, 0) + 1
+    df = frame(spark, [(c, f, n) for c, v in matrix.items() for f, n in v.items()], "cell_id long, feature long, value long")
+    got = {x.cell_id: x.method for x in cells.empty_drops(df, 800, 1, 100, 120, 0.01).collect()}
+    assert got == brute_empty_drops(matrix, 800, 1, 100, 120, 0.01)
+    assert {"OrdMag", "EmptyDrops"} == set(got.values()) and not any(c >= 90 for c in got)
+
+
+def test_ranks_with_ties_and_reals(spark):
+    r = random.Random(6)
+    rows = [(i * 977, float(r.choice([1, 1, 1, 2, 3, r.random() * 50]))) for i in range(3000)] + [(-5, 0.0), (-9000, 1.0)]
+    got = {x.cell_id: x.rank for x in cells.barcode_rank(frame(spark, rows, "cell_id long, total double")).collect()}
+    assert got == {c: i + 1 for i, (_, c) in enumerate(sorted((-t, c) for c, t in rows))}
+
+
+def test_crowded_p_values(spark):
+    r = random.Random(7)
+    ps = [0.0] * 500 + [1.0] * 800 + [r.random() ** 6 for _ in range(2000)]
+    got = cells.benjamini_hochberg(frame(spark, list(enumerate(ps)), "t long, p_value double"), 0.05).collect()
+    cut = max(p for i, p in enumerate(sorted(ps)) if p <= (i + 1) * 0.05 / len(ps))
+    assert len(got) == len(ps) and all(x.significant == (x.p_value <= cut) for x in got)
+
+
+def test_runs_over_blocks(spark):
+    r = random.Random(8)
+    numbers = sorted(r.sample(range(1 << 19), 400)) + [(1 << 40) + i for i in range(5)]
+    genes = [r.choice("AB") if i % 50 else "C" for i in range(400)] + [None, None, "A", "A", None]
+    rows = [(n, None if g is None else f"{g}:x", "ACGT") for n, g in zip(numbers, genes)]
+    want, run, last = {}, 0, object()
+    for n, g in zip(numbers, genes):
+        run, last = run + (g != last), g
+        want[n] = run
+    got = quant.gene_runs(frame(spark, rows, "record_no long, header string, seq string")).collect()
+    assert {x.record_no: x.run for x in got} == want
+
+
+def test_offsets_at_any_k(spark):
+    r = random.Random(9)
+    for k in (3, 8, 16, 31):
+        kmers = sorted({r.randrange(4**k) for _ in range(300)} | {0, 4**k - 1})
+        rows = [(x, c) for x in kmers for c in range(r.randint(1, 4))]
+        got = [(x.kmer, x.offset) for x in P.kmer_arrays(frame(spark, rows, "kmer long, cell_id long"), k=k).orderBy("kmer").collect()]
+        before, want = 0, []
+        for x in kmers:
+            want.append((x, before))
+            before += sum(y == x for y, _ in rows)
+        assert got == want
+
+
+def test_smoothing_against_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for nx, ny in ((9, 4), (3, 20)):  # narrower than the kernel too
+        image = r.random((nx, ny)) * (r.random((nx, ny)) < 0.4)
+        weights = np.array(spatial.kernel_of(1.5))
+        reach, want = len(weights) // 2, image
+        for axis in (0, 1):
+            wide = np.pad(want, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            want = np.apply_along_axis(np.convolve, axis, wide, weights, mode="valid")
+        rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(image) if v]
+        got = np.zeros((nx, ny))
+        for x in spatial.smooth(frame(spark, rows, "px int, py int, value double"), nx, ny).collect():
+            got[x.px, x.py] = x.value
+        assert np.allclose(got, want)
+
+
+def test_control_genes(spark):
+    rows = [(c, f, float(1 + f // 10)) for f in range(40) for c in range(3)]
+    genes = frame(spark, [(5,), (25,)], "gene long")
+    found = {x.gene for x in annotate.control_genes(frame(spark, rows, "cell_id long, feature long, value double"), genes, n=4, bins=4).collect()}
+    assert len(found) == 8 and not found & {5, 25} and {f // 10 for f in found} == {0, 2}
+
+
 def test_annotation(spark):
     labels = frame(spark, [(i, 0, "T" if i < 8 else "B") for i in range(10)] + [(i, 1, "TBNM"[i % 4]) for i in range(10, 22)], "cell_id long, cluster long, cell_type string")
     assert {r.cluster: r.composition for r in annotate.cluster_composition(labels).collect()} == {0: "T", 1: "Mixed"}

@@ -56,6 +56,16 @@ def test_fasta_and_genes(spark, tmp_path):
     assert sorted(map(tuple, readers.look_up_gene(db, names).collect())) == [("aBC", "TTTT"), ("ensg1", "TTTT")]
 
 
+def test_gene_store(spark, tmp_path):
+    store = readers.GeneStore(spark, f"{tmp_path}/genes")
+    genes = lambda *rows: spark.createDataFrame(rows, "gene_name string, ensembl_id string, sequence string")
+    assert not store.exists()
+    store.put(genes(("A", "E1", "AC"), ("B", "E2", "GG")))
+    store.put(genes(("A", "E1", "TT"), ("C", "E3", "CC")))
+    assert store.exists() and sorted(map(tuple, store.read().collect())) == [("A", "E1", "TT"), ("B", "E2", "GG"), ("C", "E3", "CC")]
+    assert dict(map(tuple, store.known(spark.createDataFrame([("a",), ("e3",), ("x",)], "name string")).collect())) == {"a": True, "e3": True, "x": False}
+
+
 def test_barcode_lists(spark, tmp_path):
     (tmp_path / "w.txt").write_text("ACGT\nGGGG\nTTTT")
     assert [tuple(r) for r in readers.read_whitelist(spark, f"{tmp_path}/w.txt").collect()] == [("ACGT", 1), ("GGGG", 2), ("TTTT", 3)]
