@@ -56,6 +56,35 @@ def test_fasta_and_genes(spark, tmp_path):
     assert sorted(map(tuple, readers.look_up_gene(db, names).collect())) == [("aBC", "TTTT"), ("ensg1", "TTTT")]
 
 
+def bam_bytes(reads):
+    """A BAM file, in BGZF members of a few records, of (sequence, tags)."""
+    head = b"@HD\tVN:1.6\n"
+    blocks = [b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)]
+    for i, (seq, tags) in enumerate(reads):
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0]
+        packed = bytes(codes[j] << 4 | codes[j + 1] for j in range(0, len(seq), 2))
+        name = f"r{i}".encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", -1, -1, len(name), 0, 0, 1, 4, len(seq), -1, -1, 0) + name + struct.pack("<I", 16) + packed + b"\xff" * len(seq) + tags
+        blocks.append(struct.pack("<i", len(body)) + body)
+    whole = b"".join(blocks)
+    return b"".join(gzip.compress(whole[i : i + 100]) for i in range(0, len(whole), 100)) + gzip.compress(b"")
+
+
+def test_bam(spark, tmp_path):
+    tag = lambda name, text: name.encode() + b"Z" + text.encode() + b"\0"
+    other = b"NHC\x05" + b"XAAx" + b"XBBs" + struct.pack("<i", 2) + b"\1\0\2\0" + b"XFf" + struct.pack("<f", 1.5) + b"XHHAB\0"
+    reads = [("ACGTN", other + tag("CB", "ACGT-1")), ("ACG", tag("CB", "GGGG") + tag("UR", "TTTT")), ("", tag("CB", "AAAA")), ("TTTTTT", other)]
+    (tmp_path / "x.bam").write_bytes(bam_bytes(reads))
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert key(readers.read_bam(spark, f"{tmp_path}/x.bam").collect()) == key([("ACGT-1", "ACGTN"), ("GGGG", "ACG"), ("AAAA", None), (None, "TTTTTT")])
+    assert key(readers.read_bam(spark, f"{tmp_path}/x.bam", "CB", "UR").select("seq").collect()) == key([(None,), ("TTTT",), (None,), (None,)])
+    with pytest.warns(UserWarning, match="75%"):
+        readers.read_bam(spark, f"{tmp_path}/x.bam", "UR")
+    (tmp_path / "y.bam").write_bytes(gzip.compress(b"text"))
+    with pytest.raises(ValueError):
+        readers.missing_share(f"{tmp_path}/y.bam", "CB")
+
+
 def test_gene_store(spark, tmp_path):
     store = readers.GeneStore(spark, f"{tmp_path}/genes")
     genes = lambda *rows: spark.createDataFrame(rows, "gene_name string, ensembl_id string, sequence string")
