@@ -78,7 +78,9 @@ def where(
         asked = asked.join(background.where("n_genes > 1").select("kmer"), "kmer", "left_anti")
     usable = asked.select("kmer").distinct().join(stats.where(abundant(count_at_least, count_at_most)), "kmer").select("kmer")
     hits = postings.join(usable, "kmer", "left_semi")
-    votes = asked.join(hits, "kmer").groupBy("group_id", "w1", "w2", *cells).agg(F.count("*").alias("votes")).where(F.col("votes") >= need)
+    # one shuffle serves votes and scores: no two tasks see the same group and cell
+    met = asked.join(hits, "kmer").repartition("group_id", *cells)
+    votes = met.groupBy("group_id", "w1", "w2", *cells).agg(F.count("*").alias("votes")).where(F.col("votes") >= need)
     score = F.lit(1).cast("long") if single_count else F.count("*")
     return votes.groupBy("group_id", *cells).agg(score.alias("score"))
 
