@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dna, metrics
-from .operators import annotate, barcodes, cells, cellxmer, postings, quant, search, spatial
+from .operators import annotate, barcodes, cells, cellxmer, postings, quant, router, search, spatial
 from .sources import files, readers, sinks
 
 
@@ -135,7 +135,15 @@ def found(spark: SparkSession, args) -> tuple[list, DataFrame, dict]:
     posted, stats, meta = opened(spark, args.index_in)
     queries = asked(args)
     frame = spark.createDataFrame(queries, "group_id long, name string, seq string")
-    frame = frame.select("group_id", dna.sanitize(F.col("seq")).alias("seq"))
+    if args.genes:
+        database = readers.gene_database(spark.read.format("fasta").load(args.genes))
+        routed = router.route(frame.select(F.col("group_id").alias("query_id"), F.col("seq").alias("text")), database)
+        rows = routed.collect()  # a few for each query asked for
+        if lost := sorted(r["query_id"] for r in rows if r["kind"] == "error"):
+            raise SystemExit("not a sequence and no known gene: " + ", ".join(queries[i][2][:50] for i in lost))
+        frame = spark.createDataFrame([(r["query_id"], r["seq"]) for r in rows], "group_id long, seq string")
+    else:
+        frame = frame.select("group_id", dna.sanitize(F.col("seq")).alias("seq"))
     return queries, search.where(frame, posted, stats, meta["kmer_size"], args.sliding_size, **vote_options(args)), meta
 
 
@@ -245,8 +253,13 @@ def run_verify(args) -> int:
 
 
 def run_background(args) -> None:
-    """In how many genes of a reference each k-mer occurs."""
+    """In how many genes of a reference each k-mer occurs, or what a k-mer counter exported."""
     spark = session(args.threads)
+    if bool(args.reference) == bool(args.counts):
+        raise SystemExit("give either --reference or --counts")
+    if args.counts:
+        postings.import_counts(spark.read.format("fasta").load(args.counts)).write.mode("overwrite").parquet(args.output)
+        return
     records = spark.read.format("fasta").load(args.reference).withColumn("seq", dna.sanitize(F.col("seq")))
     quant.background_model(records, args.kmer_length).write.mode("overwrite").parquet(args.output)
 
@@ -276,6 +289,7 @@ def parser() -> argparse.ArgumentParser:
 
     def request(p) -> None:
         p.add_argument("--query", "--sequence", nargs="+")
+        p.add_argument("--genes", help="FASTA of genes, by whose names and ids queries can ask")
         p.add_argument("--file", help="FASTA or FASTQ")
 
     p = command("index", run_index)
@@ -355,7 +369,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=42)
 
     p = command("background", run_background)
-    p.add_argument("--reference", required=True)
+    p.add_argument("--reference")
+    p.add_argument("--counts", help="FASTA of k-mers named by their counts")
     p.add_argument("--kmer-length", type=int, default=24)
     p.add_argument("--output", required=True)
     return top

@@ -53,6 +53,23 @@ def test_search_and_report(made, capsys):
         cli.main(["search", "--index-in", f"{d}/index"])
 
 
+def test_search_by_gene(made, capsys):
+    d, genes = made
+    (d / "genes.fa").write_text("".join(f">t{i} gene:ENSG{i}.1 gene_symbol:Gene{g}\n{s}\n" for i, (g, s) in enumerate(genes.items())))
+    cli.main(["search", "--index-in", f"{d}/index", *VOTES, "--genes", f"{d}/genes.fa", "--query", "geneb", "gene:GeneA;split:0,40", "ensg0", genes["B"].lower(), "--json"])
+    assert [json.loads(x)["cells"] for x in capsys.readouterr().out.splitlines()] == ["2", "0, 1", "0, 1", "2"]
+    with pytest.raises(SystemExit, match="geneC"):
+        cli.main(["search", "--index-in", f"{d}/index", *VOTES, "--genes", f"{d}/genes.fa", "--query", "geneC"])
+
+
+def test_background_of_counts(spark, tmp_path):
+    (tmp_path / "c.fa").write_text(">2\nACGT\n>7\nTTTT\n")
+    cli.main(["background", "--counts", f"{tmp_path}/c.fa", "--output", f"{tmp_path}/out"])
+    assert sorted(r.n_genes for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 7]
+    with pytest.raises(SystemExit):
+        cli.main(["background", "--output", f"{tmp_path}/out"])
+
+
 def test_quant_writes_one_matrix_file(spark, made):
     d, _ = made
     cli.main(["quant", "--index-in", f"{d}/index", *VOTES, "--reference", f"{d}/ref.fa", "--folder-out", f"{d}/quant", "--bin-size", "50"])
