@@ -26,11 +26,17 @@ def index_of(t):
     return p, P.kmer_stats(p)
 
 
+def whole(spark, path: str) -> bool:
+    """Whether all tables of an index are there."""
+    marks = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/_SUCCESS") for table in ("postings", "stats", "meta")]
+    return all(m.getFileSystem(spark._jsc.hadoopConfiguration()).exists(m) for m in marks)
+
+
 def stored_index(t):
     """Postings and stats of an index that is written once for a folder of tables in an application; what searches ask
-    for is met by the footers of its row groups and by its stats."""
+    for is met by the footers of its row groups and by its stats. If its folder was cleaned up, it is written again."""
     key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _stored:
+    if key not in _stored or not whole(t.spark, _stored[key]):
         path = scratch(t.spark, "index")
         P.write_index(P.build_postings(cells_of(t), K, overlapping=True), path, {"kmer_size": K, "n_cells": t("documents").count()})
         _stored[key] = path

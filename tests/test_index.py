@@ -324,6 +324,19 @@ def test_kmers_beside_other_letters(spark):
     assert named(P.kmers_of(reads, 3)) == [(1, "ACC"), (1, "ACG"), (2, "CCC"), (5, "ACG")]
 
 
+def test_stored_index_comes_back(spark):
+    import shutil
+
+    from strandweave.plans import index_plans
+
+    tables = catalog.Tables(spark, DATA)
+    n = index_plans.stored_index(tables)[0].count()
+    path = index_plans._stored[spark.sparkContext.applicationId, DATA]
+    assert index_plans.stored_index(tables)[0].count() == n and index_plans._stored[spark.sparkContext.applicationId, DATA] == path
+    shutil.rmtree(path.removeprefix("file://"))
+    assert index_plans.stored_index(tables)[0].count() == n
+
+
 def test_merge_samples_keeps_other_languages(spark, same, tmp_path):
     for name in os.listdir(DATA):
         if name != "documents.parquet":
