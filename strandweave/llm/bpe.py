@@ -7,8 +7,9 @@ an arc labelled uv to where v led from q. What the automaton accepts are exactly
 produce. All arcs of one label lead to one state, so the target of an arc is a table by label; whether a state has an arc
 follows from the chain of copies it came from, and is entered into a transition table when first asked for.
 
-A word's tokens are the one path that spells the word: from left to right, for each position the one token that ends
-there and continues the path is looked up in the tables. Decoding emits the arcs' labels.
+A word's tokens are the one path that spells the word. From the first state on, the arc of the longest label that spells
+what follows is taken; where none leads on, the path goes back by one arc and tries the next shorter one. Since one path
+alone spells each beginning of a word, a place that led nowhere is never entered twice. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .shared import filled
 
-#: Words and transitions that a worker remembers; beyond it forgets all.
+#: Words that a worker remembers at most, and a quarter of the transitions.
 REMEMBERED = 400_000
 
 
@@ -55,10 +56,14 @@ class TokenizationAutomaton:
         self._arcs: dict[int, bool] = {}
         import ahocorasick
 
-        self.finder = ahocorasick.Automaton()
-        for t, b in labels.items():
-            self.finder.add_word(b.decode("latin-1"), (t, len(b)))
-        self.finder.make_automaton()
+        # what is neither a byte nor made by a merge is on no path
+        self.ids = {b.decode("latin-1"): t for t, b in labels.items() if len(b) == 1 or t in self.made}
+        self.longest = max(map(len, self.ids))
+        self.trie = ahocorasick.Automaton()
+        for b in self.ids:
+            self.trie.add_word(b, True)
+        # label: the longest one that it begins with, and its length
+        self.shorter = {t: next(((self.ids[b[:i]], i) for i in range(len(b) - 1, 0, -1) if b[:i] in self.ids), (-1, 0)) for b, t in self.ids.items()}
 
     def _removals(self, state: int) -> dict[int, int]:
         """label: rank of the gadget that took its arc away, over the chain of copies that ends in ``state``."""
@@ -96,26 +101,54 @@ class TokenizationAutomaton:
         return got
 
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
-        last = [-1] * (n + 1)  # the token that ends here
-        states = [-1] * (n + 1)
-        states[0] = 0
-        arcs, target = self._arcs, self.target
-        for end, (token, size) in self.finder.iter(word.decode("latin-1")):
-            end += 1
-            if states[end] >= 0:
-                continue
-            s = states[end - size]
-            if s < 0:
-                continue
-            ok = arcs.get(s << 32 | token)
-            if ok or ok is None and self.has_arc(s, token):
-                last[end], states[end] = token, target[token]
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+        n, text, reach = len(word), word.decode("latin-1"), self.longest
+        ids, arcs, target, shorter, deepest = self.ids, self._arcs, self.target, self.shorter, self.trie.longest_prefix
+        path: list[tuple[int, int]] = []  # labels and their lengths
+        dead: set[int] = set()  # places from which no path leads to the end
+        at, state, size = 0, 0, -1
+        while at < n:
+            if size < 0:  # a new place
+                rest = text[at : at + reach]
+                size = deepest(rest)
+                while (token := ids.get(rest[:size], -1)) < 0:
+                    size -= 1
+            while size:
+                if at + size not in dead:
+                    ok = arcs.get(state << 32 | token)
+                    if ok or ok is None and self.has_arc(state, token):
+                        break
+                token, size = shorter[token]
+            if size:
+                path.append((token, size))
+                at, state, size = at + size, target[token], -1
+            else:
+                dead.add(at)
+                token, size = path.pop()
+                at -= size
+                state = target[path[-1][0]] if path else 0
+                token, size = shorter[token]
+        return [t for t, _ in path]
+
+
+class _Words(dict):
+    """Ids of words, and these as text; made when first asked for. Of two generations the older one is forgotten once
+    the younger one is full, so frequent words stay."""
+
+    def __init__(self, automaton: TokenizationAutomaton):
+        super().__init__()
+        self.automaton, self.older = automaton, {}
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+        got = self.older.get(word)
+        if got is None:
+            ids = tuple(self.automaton.encode_word(word.encode()))
+            got = (ids, ",".join(map(str, ids)))
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED // 2:
+                self.older = self.copy()
+                self.clear()
+            self[word] = got
+        return got
 
 
 class ByteLevelBPE:
@@ -136,7 +169,7 @@ class ByteLevelBPE:
         self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._kinds = [("a", regex.compile(r"\p{L}")), ("1", regex.compile(r"\p{N}"))]
         self._stand_in: dict[str, str] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words = _Words(self.automaton)
 
     def _as_library(self, c: str) -> str:
         """A character of the class that the library gives to ``c``, as its Unicode tables may be of another year."""
@@ -158,32 +191,23 @@ class ByteLevelBPE:
                 return [text[m.start() : m.end()] for m in self._words.finditer(text.translate(odd))]
         return self._words.findall(text)
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.automaton.encode_word(word.encode()))
-        got = (ids, ",".join(map(str, ids)))
-        if len(word) <= 64:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
-    def _entries(self, text: str):
-        known, word = self.words.get, self._word
+    def _entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        out, word = [], self.words.__getitem__
         parts = self._special.split(text) if self._special else [text]
         for i, part in enumerate(parts):
             if i % 2:
                 t = self.special[part]
-                yield (t,), str(t)
+                out.append(((t,), str(t)))
             elif part:
-                for w in self.split(part):
-                    yield known(w) or word(w)
+                out += map(word, self.split(part))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(x[0] for x in self._entries(text)))
 
     def encode_listed(self, text: str) -> tuple[list[int], str]:
         """The ids, and as decimal numbers joined by commas."""
-        entries = list(self._entries(text))
+        entries = self._entries(text)
         return list(chain.from_iterable([x[0] for x in entries])), ",".join([x[1] for x in entries])
 
     def decode(self, ids: list[int]) -> str:
