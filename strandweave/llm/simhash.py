@@ -262,8 +262,7 @@ def _verify(limit: int, total: int | None):
             found = []
             for group in batch.column("found"):
                 fps, others = (group.values.field(c).to_numpy().view(np.uint64) for c in ("fp", "other"))
-                fps, first = np.unique(fps, return_index=True)
-                found += forest(fps, limit) if total is None else forest(fps, limit, others[first], total)
+                found += forest(np.unique(fps), limit) if total is None else forest(fps, limit, others, total)
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
@@ -272,7 +271,7 @@ def _verify(limit: int, total: int | None):
 
 def links(fps: DataFrame, limit: int = 2, group_limit: int = GROUP_LIMIT, total: int | None = None) -> DataFrame:
     """a, b: edges that connect all fingerprints within ``limit`` bits of each other and, if ``total`` is given, within
-    ``total`` bits of both fingerprints. ``fps``: columns fp, which is distinct, and other. Empty without any."""
+    ``total`` bits of both fingerprints. ``fps``: distinct rows of fp and other. Empty without any."""
     n, both = bit_statistics(fps)
     if n < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
@@ -297,22 +296,23 @@ def near_duplicates(docs: DataFrame, limit: int = 2, size: int = 3, group_limit:
     """doc_id, fingerprint, component_id, key: one row for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that can be reached over links of at most ``limit`` differing bits (and, if
-    ``total`` is given, of at most so many of the 128 bits of two fingerprints), the row's own included; it is null where
-    no row of the component has an id. Null texts count as empty; texts without words have fingerprint 0 and link like
+    ``total`` is given, of at most so many of the 128 bits of two fingerprints), the row's own included; rows of one
+    first fingerprint always link. It is null where no row of the component has an id. Null texts count as empty; texts without words have fingerprint 0 and link like
     any other; long texts are hashed in blocks. Repeated rows get the same values. An empty input gives an empty result.
     Further columns, whatever their names, are not looked at. ``key`` tells rows apart that have one id but other texts.
     """
     rows = docs.select("doc_id", row_key().alias("key"), filled().alias("text"))
     table = staged(rows.mapInArrow(_fingerprints(size, total is not None), "doc_id long, key long, fp long, other long"), "fingerprints")
-    found = table.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("other").alias("other"))
+    found = table.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     fps = staged(found, "distinct")
-    edges = staged(links(fps.select("fp", "other"), limit, group_limit, total), "links")
+    pairs = staged(table.select("fp", "other").distinct(), "pairs")
+    edges = staged(links(pairs, limit, group_limit, total), "links")
     roots = connected(edges)
     joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     labels = staged(joined, "roots")
     sizes = labels.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     named = staged(join_by_size(labels, sizes, ["root"], "members", labels.count()).select("fp", "n", "component_id"), "components")
-    discard(fps, edges, labels)
+    discard(fps, pairs, edges, labels)
     out = join_by_size(table, named, ["fp"], "n", table.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key")
 

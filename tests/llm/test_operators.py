@@ -139,6 +139,10 @@ def test_second_fingerprint(spark):
     near = lambda a, b: (d := (a ^ b).bit_count()) <= 8 and d + (prints[a] ^ prints[b]).bit_count() <= 12
     roots = dict(map(tuple, connected(simhash.links(spark.createDataFrame(list(prints.items()), "fp long, other long"), 8, total=12)).collect()))
     assert {p: roots.get(p, p) for p in prints} == components_of(list(prints), near)
+    # a link that only one of two texts with the same first fingerprint has
+    shared = spark.createDataFrame([(100, 0), (100, (1 << 20) - 1), (101, (1 << 20) - 1), (0x7FFF << 48, 0)], "fp long, other long")
+    for most in (1 << 16, 2):
+        assert {r.node: r.root for r in connected(simhash.links(shared, 8, most, total=12)).collect()} == {100: 100, 101: 100}
     words = r.choices(WORDS, k=300)
     one, two = simhash.fingerprints(" ".join(words).encode(), 5, second=True), simhash.fingerprints(" ".join([*words[:150], "new", *words[150:]]).encode(), 5, second=True)
     assert one[0] == simhash.fingerprint(" ".join(words).encode(), 5) and sum((a ^ b).bit_count() for a, b in zip(one, two, strict=True)) < 20
