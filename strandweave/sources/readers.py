@@ -23,6 +23,8 @@ BATCH = 4096
 PROBED = 200
 #: Record numbers of file i begin at i << FILE_BITS.
 FILE_BITS = 40
+#: Plain FASTQ files are cut into this many pieces at most, while pieces are smaller than PIECE_BYTES.
+PIECES, PIECE_BYTES = 128, 1 << 27
 
 
 @dataclass
@@ -226,10 +228,22 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
-def read_fastq(spark: SparkSession, path: str, split_bytes: int = 1 << 27) -> DataFrame:
+def piece_bytes(path: str, split_bytes: int) -> int:
+    """``split_bytes``, or as many more as keep plain files at PIECES pieces, up to PIECE_BYTES: each piece is a task that
+    opens its file, so small ones would have tasks grow in number with the input, whatever they read."""
+    total = 0
+    for one in files.expand(path):
+        fs, at = files.locate(one)
+        total += 0 if files.compression_of(one) else fs.get_file_info(at).size
+    return max(split_bytes, min(PIECE_BYTES, -(-total // PIECES)))
+
+
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = PIECE_BYTES) -> DataFrame:
     """read_no, name, seq, qual of FASTQ files, as the source ``fastq`` gives them, but read in pieces of about
-    ``split_bytes`` at once. A first pass counts the records of each piece, so that numbers are those of an unsplit file;
-    the counts are a row a partition and are broadcast. Compressed files are one piece each, and aren't counted."""
+    ``split_bytes`` at once, or of ``piece_bytes`` if those would be too many. A first pass counts the records of each
+    piece, so that numbers are those of an unsplit file; the counts are a row a partition and are broadcast. Compressed
+    files are one piece each, and aren't counted."""
+    split_bytes = piece_bytes(path, split_bytes)
     pieces = spark.read.format("fastq_pieces").option("split_bytes", split_bytes).load(path)
     number = F.shiftleft("file", FILE_BITS)
     if all(p.end is None for p in FastqPiecesReader({"path": path, "split_bytes": split_bytes}).partitions()):

@@ -39,6 +39,15 @@ def test_fastq_pieces_lose_nothing(spark, tmp_path):
     assert both.count() == 600 and both.select("read_no").distinct().count() == 600
 
 
+def test_fastq_pieces_stay_few(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.fastq").write_bytes(fastq(2000))
+    monkeypatch.setattr(readers, "PIECES", 6)
+    whole = sorted(map(tuple, spark.read.format("fastq").load(f"{tmp_path}/a.fastq").collect()))
+    got = readers.read_fastq(spark, f"{tmp_path}/a.fastq", 64)
+    assert got.rdd.getNumPartitions() <= 6 and sorted(map(tuple, got.collect())) == whole
+    assert readers.piece_bytes(f"{tmp_path}/a.fastq", 1 << 20) == 1 << 20
+
+
 def test_compression_by_content(tmp_path):
     (tmp_path / "plain").write_bytes(gzip.compress(b"hello"))
     (tmp_path / "other").write_bytes(lzma.compress(b"hello"))
