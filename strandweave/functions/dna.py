@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The complement of each base, and what stands for a gene identifier.
 COMPLEMENT = ("ACGTU", "TGCAA")
@@ -13,12 +15,32 @@ SERVER_SEQUENCE = r"^[ACGTNU]+$"
 
 def sanitize(seq: Column) -> Column:
     """Upper case, U as T, and only A, C, G, T and N of what is left."""
-    return F.regexp_replace(F.replace(F.upper(seq), F.lit("U"), F.lit("T")), "[^ACGTN]", "")
+    return F.regexp_replace(F.replace(F.upper(seq), F.lit("U"), F.lit("T")), "[^ACGTN]+", "")
 
 
 def bases_only(seq: Column) -> Column:
     """Like ``sanitize``, without N."""
-    return F.regexp_replace(F.replace(F.upper(seq), F.lit("U"), F.lit("T")), "[^ACGT]", "")
+    return F.regexp_replace(F.replace(F.upper(seq), F.lit("U"), F.lit("T")), "[^ACGT]+", "")
+
+
+def with_bases(rows: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
+    """``rows`` with ``seq``, the ``bases_only`` of ``text``, in its place as the last column. Each text is gone over once,
+    whereas a column is computed again by every filter on it."""
+    others = [c for c in rows.columns if c != text]
+    no_bases = bytes(i for i in range(256) if i not in b"ACGT")
+
+    def clean(x):
+        upper = x.upper() if x.isascii() else x.decode().upper().encode()
+        return upper.replace(b"U", b"T").translate(None, no_bases)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(len(others)).cast(pa.large_binary()).to_pylist()
+            seqs = pa.array([None if x is None else clean(x) for x in texts], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], seqs], names=[*others, seq])
+
+    fields = [T.StructField(c, rows.schema[c].dataType) for c in others]
+    return rows.select(*others, text).mapInArrow(run, T.StructType([*fields, T.StructField(seq, T.StringType())]))
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
 
 def cells_of(t) -> DataFrame:
     """cell_id, seq of documents."""
-    return t("documents").select(F.col("doc_id").alias("cell_id"), dna.bases_only(F.col("text")).alias("seq"))
+    return dna.with_bases(t("documents").select(F.col("doc_id").alias("cell_id"), "text"))
 
 
 def groups_of(t) -> DataFrame:

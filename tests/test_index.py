@@ -8,7 +8,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from strandweave.functions import codec
+from strandweave.functions import codec, dna
 from strandweave.operators import annotate, barcodes, cells, cellxmer, quant, search, spatial, windows
 from strandweave.operators import postings as P
 from strandweave.plans import catalog, cell_plans
@@ -358,3 +358,9 @@ def test_kmeans_takes_all_features(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(cell_plans.annotate, "cluster_cells", lambda matrix, features, **_: taken.extend(features) or matrix)
     catalog.QUERIES["kmeans_clusters"](spark, str(tmp_path))
     assert len(taken) == 700
+
+
+def test_texts_are_cleaned_once(spark):
+    texts = [None, "", "acgu N", "\ufb06ra\u1e97e \u1e9a ug", "AC\nGT\U0001f600t", "\u0131\u00df"]
+    rows = frame(spark, list(enumerate(texts)), "id long, text string")
+    assert sorted(map(tuple, dna.with_bases(rows).collect())) == sorted(map(tuple, rows.select("id", dna.bases_only(F.col("text")).alias("seq")).collect()))
