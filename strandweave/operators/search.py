@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec
 
@@ -68,6 +70,9 @@ def where(
     ``queries``: group_id, seq. A window matches a cell that enough of its k-mers are posted for. ``background`` (kmer,
     n_genes) takes out k-mers of more than one gene. The k-mers asked for are made distinct and cut down by the stats
     before they meet the postings. A sample_id in the postings is kept.
+
+    Up to HELD windows that can match are sent to all tasks, which see a cell's hits together: the shuffle has a row for
+    each k-mer and cell, not for each window, k-mer and cell. More windows are joined with the hits.
     """
     if sliding_size < k:
         raise ValueError("sliding_size must be at least k")
@@ -77,6 +82,10 @@ def where(
     if background is not None:
         asked = asked.join(background.where("n_genes > 1").select("kmer"), "kmer", "left_anti")
     usable = asked.select("kmer").distinct().join(stats.where(abundant(count_at_least, count_at_most)), "kmer").select("kmer")
+    windows = asked.join(usable, "kmer", "left_semi").groupBy("group_id", "w1", "w2").agg(F.collect_list("kmer").alias("kmers")).where(F.size("kmers") >= need)
+    held = windows.select("group_id", "kmers").limit(HELD + 1).toArrow()
+    if held.num_rows <= HELD:
+        return scored(postings, held, need, cells, single_count, queries.schema["group_id"].dataType)
     hits = postings.join(usable, "kmer", "left_semi")
     # one shuffle serves votes and scores: no two tasks see the same group and cell
     met = asked.join(hits, "kmer").repartition("group_id", *cells)
@@ -85,6 +94,78 @@ def where(
     return votes.groupBy("group_id", *cells).agg(score.alias("score"))
 
 
+#: Windows that are held by each task of a search, and how many of their k-mers times cells are looked up at once.
+HELD, LOOKED_UP = 200_000, 1 << 23
+
+
+def scored(postings: DataFrame, windows: pa.Table, need: int, cells: list[str], single_count: bool, group_type: T.DataType) -> DataFrame:
+    """group_id, cells, score of windows (group_id, kmers), a row each."""
+    lists = windows["kmers"].combine_chunks()
+    lengths = np.asarray(lists.value_lengths(), np.int64) if len(lists) else np.zeros(0, np.int64)
+    kmers, flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True) if len(lists) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    coded = windows["group_id"].combine_chunks().dictionary_encode("encode")
+    groups, number = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # a row a window, in order of groups: the places of its k-mers, filled up with one that no cell has
+    table = np.full((len(number), max(lengths, default=1)), len(kmers), np.int32)
+    table[np.repeat(np.arange(len(number)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    order = np.argsort(number, kind="stable")
+    table, number = np.ascontiguousarray(table[order].T), number[order]
+    firsts = np.flatnonzero(np.diff(number, prepend=-1))
+    numbers, kind = number[firsts], np.uint8 if len(table) < 256 else np.uint32
+    many = max(1, min(256, LOOKED_UP // max(table.size, 1)))
+
+    def scores(keys: list, at: np.ndarray, cell: np.ndarray):
+        """Of hits of at most ``many`` cells: places of k-mers, and of cells in ``keys``."""
+        has = np.zeros((len(kmers) + 1, len(keys[0])), kind)
+        has[at, cell] = 1
+        votes = has[table[0]]
+        for row in table[1:]:
+            votes += has[row]
+        score = np.add.reduceat((votes >= need).view(np.uint8), firsts, axis=0, dtype=np.int64)
+        g, c = np.nonzero(score)
+        value = np.ones(len(g), np.int64) if single_count else score[g, c]
+        taken = pa.array(c)
+        return pa.RecordBatch.from_arrays([groups.take(pa.array(numbers[g])), *(x.take(taken) for x in keys), pa.array(value)], names=["group_id", *cells, "score"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            yield from ready(rest, False) if rest.num_rows >= 1 << 18 else ()
+            rest = left[0] if rest.num_rows >= 1 << 18 else rest
+        if rest is not None and rest.num_rows:
+            yield from ready(rest, True)
+
+    left = [None]
+
+    def ready(hits: pa.Table, last: bool):
+        """Scores of the cells that are whole; the last cell's hits wait for more."""
+        hits = hits.combine_chunks()
+        columns = [hits[c].combine_chunks() for c in cells]
+        new = np.ones(len(hits), bool)
+        new[1:] = False
+        for x in columns:
+            v = x.to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.append(np.flatnonzero(new), len(hits))
+        whole = len(starts) - 1 if last else len(starts) - 2
+        at = np.searchsorted(kmers, hits["kmer"].to_numpy())
+        cell = np.cumsum(new) - 1
+        for i in range(0, whole, many):
+            j = min(i + many, whole)
+            a, b = starts[i], starts[j]
+            firsts_of = pa.array(starts[i:j])
+            yield scores([x.take(firsts_of) for x in columns], at[a:b], cell[a:b] - i)
+        left[0] = hits.slice(starts[whole])
+
+    types = [T.StructField("group_id", group_type), *(T.StructField(c, postings.schema[c].dataType) for c in cells), T.StructField("score", T.LongType())]
+    if not len(number):
+        return postings.sparkSession.createDataFrame([], T.StructType(types))
+    wanted = postings.sparkSession.createDataFrame(pa.table({"kmer": kmers}))
+    hits = postings.join(F.broadcast(wanted), "kmer", "left_semi").select(*cells, "kmer")
+    return hits.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, T.StructType(types))
+
+
 def with_cells(scores: DataFrame, cells: DataFrame) -> DataFrame:
     """All of ``cells``, with score 0 where nothing matched."""
     return cells.join(scores, "cell_id", "left").fillna(0, ["score"])

@@ -416,6 +416,22 @@ def test_index_of_repeated_postings(spark, reads, tmp_path):
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, P.kmer_stats(want).collect()))
 
 
+def test_held_windows_are_joined_windows(spark, reads, monkeypatch):
+    p = P.build_postings(reads, 4, overlapping=True)
+    stats, queries = P.kmer_stats(p), frame(spark, [("a", QUERY), ("b", QUERY[3:]), ("c", ABSENT)], "group_id string, seq string")
+    for single in (False, True):
+        args = (queries, p, stats, 4, 12, 0.65, 0, 100, single)
+        monkeypatch.undo()
+        held = search.where(*args)
+        monkeypatch.setattr(search, "LOOKED_UP", 1)  # a cell at once
+        few = search.where(*args)
+        monkeypatch.setattr(search, "HELD", 0)
+        joined = search.where(*args)
+        assert " Join" not in held._jdf.queryExecution().analyzed().toString().replace("Join LeftSemi", "")
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, few.collect())) == sorted(map(tuple, joined.collect())) != []
+    assert search.where(queries.where("group_id = 'none'"), p, stats, 4, 12).columns == ["group_id", "cell_id", "score"]
+
+
 def test_texts_are_cleaned_once(spark):
     texts = [None, "", "acgu N", "\ufb06ra\u1e97e \u1e9a ug", "AC\nGT\U0001f600t", "\u0131\u00df"]
     rows = frame(spark, list(enumerate(texts)), "id long, text string")
