@@ -68,7 +68,7 @@ def run_index(args) -> None:
             raise SystemExit("SRA archives can't be read here; convert them to FASTQ first")
     assigned = counted(assigned.select("cell_id", "seq"), kept)
     meta = {"kmer_size": args.kmer_length, "stride": 1 if args.overlapping else args.kmer_length, "n_cells": n_cells, "id_base": 0 if spaced else 1, "flavor": args.flavor, "uuid": args.uuid}
-    postings.write_index(postings.build_postings(assigned, args.kmer_length, args.overlapping), args.index_out, meta)
+    postings.write_index(postings.build_postings(assigned, args.kmer_length, args.overlapping), args.index_out, meta, dealt=True)
     if spaced:
         known.select("cell_id", "x", "y").write.mode("overwrite").parquet(f"{args.index_out}/cells")
     figures = (total.get["reads"], kept.get["reads"], total.get["nt"], kept.get["nt"], time.time() - began)

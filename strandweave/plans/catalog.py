@@ -49,6 +49,11 @@ def cells_of(t) -> DataFrame:
     return dna.with_bases(t("documents").select(F.col("doc_id").alias("cell_id"), "text"))
 
 
+def texts_of(t) -> DataFrame:
+    """cell_id, seq of documents, as they are: for steps that leave out other letters themselves (``bases``)."""
+    return t("documents").select(F.col("doc_id").alias("cell_id"), F.col("text").alias("seq"))
+
+
 def groups_of(t) -> DataFrame:
     """group_id, seq of benchmark passages."""
     return t("benchmark").select(F.col("item_id").alias("group_id"), dna.bases_only(F.col("text")).alias("seq"))

@@ -436,3 +436,47 @@ def test_texts_are_cleaned_once(spark):
     texts = [None, "", "acgu N", "\ufb06ra\u1e97e \u1e9a ug", "AC\nGT\U0001f600t", "\u0131\u00df"]
     rows = frame(spark, list(enumerate(texts)), "id long, text string")
     assert sorted(map(tuple, dna.with_bases(rows).collect())) == sorted(map(tuple, rows.select("id", dna.bases_only(F.col("text")).alias("seq")).collect()))
+
+
+def test_postings_of_any_ids(spark, monkeypatch):
+    """Packed or as Arrow has them, parts give what a set gives, in order within a part."""
+    r = random.Random(12)
+    text = lambda: "".join(r.choices("ACGTUacgtNé\U0001f600 ", [4] * 9 + [1] * 4, k=r.randint(0, 60)))
+    ids = {
+        "cell_id long": [5, -(1 << 63), (1 << 63) - 1, 0],
+        "cell_id int": [7, -7, None, 1],
+        "cell_id string": ["a", None, "", "b"],
+        "sample_id int, cell_id long": [(1, 5), (2, 5), (1, 6), (2, -1)],
+        "sample_id string, cell_id long": [("x", 5), (None, 5), ("x", None), ("y", 1 << 40)],
+    }
+    for names, cells in ids.items():
+        rows = [(*(c if isinstance(c, tuple) else (c,)), text()) for c in cells * 6] + [(*(c if isinstance(c, tuple) else (c,)), None) for c in cells[:1]]
+        reads = frame(spark, rows, f"{names}, seq string").repartition(3)
+        for k, dealt, bases in ((3, 1, False), (8, 1 << 22, True), (20, 9, True), (31, 1 << 22, True)):
+            monkeypatch.setattr(P, "DEALT", dealt)
+            clean = lambda s: "".join(c for c in (s or "").upper().replace("U", "T") if c in "ACGT" or not bases)
+            words = {(*row[:-1], clean(row[-1])[i : i + k]) for row in rows for i in range(len(clean(row[-1])) - k + 1)}
+            want = {(int(w[-1].translate(str.maketrans("ACTG", "0123")), 4), *w[:-1]) for w in words if set(w[-1]) <= set("ACGT")}
+            got = P.build_postings(reads, k, True, bases)
+            found = list(map(tuple, got.collect()))
+            assert len(found) == len(set(found)) and set(found) == want
+            assert sorted(map(repr, map(tuple, P.postings_of(reads, k, True, bases).distinct().collect()))) == sorted(map(repr, want))
+
+
+def test_an_index_takes_one_pass_and_shuffles_parts(spark, tmp_path):
+    """Texts are read once, not once more for the bounds of ranges, and a task shuffles a row a part, not a row a posting."""
+    texts = frame(spark, [(i, "".join(random.Random(i).choices("ACGT", k=900))) for i in range(60)], "cell_id long, seq string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    postings = P.build_postings(texts.coalesce(1).mapInArrow(counted, texts.schema), 8, overlapping=True)
+    P.write_index(postings, f"{tmp_path}/a", {"kmer_size": 8}, dealt=True)
+    assert read.value == 60
+    stored, stats, _ = P.open_index(spark, f"{tmp_path}/a")
+    assert stored.count() == stored.distinct().count() == stats.agg(F.sum("n_cells")).first()[0] > 50_000
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(postings) == 1 and "hashpartitioning(part" in plan and "Aggregate" not in plan
