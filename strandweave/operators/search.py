@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import codec
+from . import postings as P
 
 
 def abundant(count_at_least: int = 10, count_at_most: int = 10_000) -> Column:
@@ -71,8 +73,8 @@ def where(
     n_genes) takes out k-mers of more than one gene. The k-mers asked for are made distinct and cut down by the stats
     before they meet the postings. A sample_id in the postings is kept.
 
-    Up to HELD windows that can match are sent to all tasks, which see a cell's hits together: the shuffle has a row for
-    each k-mer and cell, not for each window, k-mer and cell. More windows are joined with the hits.
+    Up to HELD windows that can match are sent to all tasks, which see a cell's hits together: hits, one for each k-mer and
+    cell and not for each window too, are packed by cells and shuffled as parts. More windows are joined with the hits.
     """
     if sliding_size < k:
         raise ValueError("sliding_size must be at least k")
@@ -110,8 +112,7 @@ def scored(postings: DataFrame, windows: pa.Table, need: int, cells: list[str],
     table[np.repeat(np.arange(len(number)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     order = np.argsort(number, kind="stable")
     table, number = np.ascontiguousarray(table[order].T), number[order]
-    firsts = np.flatnonzero(np.diff(number, prepend=-1))
-    numbers, kind = number[firsts], np.uint8 if len(table) < 256 else np.uint32
+    kind = np.uint8 if len(table) < 256 else np.uint32
     many = max(1, min(256, LOOKED_UP // max(table.size, 1)))
 
     def scores(keys: list, at: np.ndarray, cell: np.ndarray):
@@ -121,49 +122,45 @@ def scored(postings: DataFrame, windows: pa.Table, need: int, cells: list[str],
         votes = has[table[0]]
         for row in table[1:]:
             votes += has[row]
-        score = np.add.reduceat((votes >= need).view(np.uint8), firsts, axis=0, dtype=np.int64)
-        g, c = np.nonzero(score)
-        value = np.ones(len(g), np.int64) if single_count else score[g, c]
-        taken = pa.array(c)
-        return pa.RecordBatch.from_arrays([groups.take(pa.array(numbers[g])), *(x.take(taken) for x in keys), pa.array(value)], names=["group_id", *cells, "score"])
+        won, n = np.flatnonzero(votes >= need), len(keys[0])
+        score = np.bincount(number[won // n] * n + won % n, minlength=len(groups) * n)
+        found = np.flatnonzero(score)
+        value = np.ones(len(found), np.int64) if single_count else score[found].astype(np.int64)
+        taken = pa.array(found % n)
+        return pa.RecordBatch.from_arrays([groups.take(pa.array(found // n)), *(x.take(taken) for x in keys), pa.array(value)], names=["group_id", *cells, "score"])
+
+    def pack(batches):
+        """Hits by the part of their cell, with the places of k-mers for k-mers."""
+        for hits in P.gathered(batches):
+            at = pa.array(np.searchsorted(kmers, hits["kmer"].to_numpy()))
+            yield P.packed(pa.table([at, *(hits[c] for c in cells)], schema=packed), hits["part"].to_numpy())
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            yield from ready(rest, False) if rest.num_rows >= 1 << 18 else ()
-            rest = left[0] if rest.num_rows >= 1 << 18 else rest
-        if rest is not None and rest.num_rows:
-            yield from ready(rest, True)
-
-    left = [None]
-
-    def ready(hits: pa.Table, last: bool):
-        """Scores of the cells that are whole; the last cell's hits wait for more."""
-        hits = hits.combine_chunks()
-        columns = [hits[c].combine_chunks() for c in cells]
-        new = np.ones(len(hits), bool)
-        new[1:] = False
-        for x in columns:
-            v = x.to_numpy(zero_copy_only=False)
-            new[1:] |= v[1:] != v[:-1]
-        starts = np.append(np.flatnonzero(new), len(hits))
-        whole = len(starts) - 1 if last else len(starts) - 2
-        at = np.searchsorted(kmers, hits["kmer"].to_numpy())
-        cell = np.cumsum(new) - 1
-        for i in range(0, whole, many):
-            j = min(i + many, whole)
-            a, b = starts[i], starts[j]
-            firsts_of = pa.array(starts[i:j])
-            yield scores([x.take(firsts_of) for x in columns], at[a:b], cell[a:b] - i)
-        left[0] = hits.slice(starts[whole])
-
-    types = [T.StructField("group_id", group_type), *(T.StructField(c, postings.schema[c].dataType) for c in cells), T.StructField("score", T.LongType())]
+        for held in P.parts(batches):
+            hits = P.unpacked(held, packed)
+            if isinstance(hits, pa.Table):  # numbers stand for what aren't whole numbers
+                at, columns = hits["at"].to_numpy(), [hits[c].combine_chunks() for c in cells]
+                keys = [x.dictionary_encode("encode").indices.to_numpy() for x in columns]
+            else:
+                at, *keys = hits
+                columns = [x.combine_chunks() for x in P.table_of(hits, packed).columns[1:]]
+            order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+            new = P.new_rows(*(x[order] for x in keys))
+            starts, cell, at = np.append(np.flatnonzero(new), len(at)), np.cumsum(new) - 1, at[order]
+            for i in range(0, len(starts) - 1, many):
+                j = min(i + many, len(starts) - 1)
+                a, b = starts[i], starts[j]
+                firsts = pa.array(order[starts[i:j]])
+                yield scores([x.take(firsts) for x in columns], at[a:b], cell[a:b] - i)
+
+    of_cells = [T.StructField(c, postings.schema[c].dataType) for c in cells]
+    types = T.StructType([T.StructField("group_id", group_type), *of_cells, T.StructField("score", T.LongType())])
     if not len(number):
-        return postings.sparkSession.createDataFrame([], T.StructType(types))
+        return postings.sparkSession.createDataFrame([], types)
+    packed = to_arrow_schema(T.StructType([T.StructField("at", T.LongType()), *of_cells]))
     wanted = postings.sparkSession.createDataFrame(pa.table({"kmer": kmers}))
-    hits = postings.join(F.broadcast(wanted), "kmer", "left_semi").select(*cells, "kmer")
-    return hits.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, T.StructType(types))
+    hits = postings.join(F.broadcast(wanted), "kmer", "left_semi").select(*cells, "kmer", F.pmod(F.xxhash64(*cells), F.lit(P.PARTS)).cast("int").alias("part"))
+    return P.deal(hits.mapInArrow(pack, P.PACKED)).mapInArrow(run, types)
 
 
 def with_cells(scores: DataFrame, cells: DataFrame) -> DataFrame:

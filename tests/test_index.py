@@ -480,3 +480,26 @@ def test_an_index_takes_one_pass_and_shuffles_parts(spark, tmp_path):
     assert stored.count() == stored.distinct().count() == stats.agg(F.sum("n_cells")).first()[0] > 50_000
     plan = postings._jdf.queryExecution().executedPlan().toString()
     assert shuffles(postings) == 1 and "hashpartitioning(part" in plan and "Aggregate" not in plan
+
+
+def test_held_windows_with_any_ids(spark, monkeypatch):
+    """Null is a cell like others; hits are shuffled as parts, not a row each."""
+    r = random.Random(13)
+    texts = [QUERY, QUERY[:20], QUERY[2:], "".join(r.choices("ACGT", k=50)), QUERY * 2]
+    ids = {
+        "cell_id long": [5, None, (1 << 63) - 1, -(1 << 63), 0],
+        "cell_id string": ["a", None, "", "b", "c"],
+        "sample_id int, cell_id long": [(1, 5), (2, 5), (None, 5), (1, None), (2, 6)],
+    }
+    for names, cells in ids.items():
+        rows = [(*(c if isinstance(c, tuple) else (c,)), x) for c, x in zip(cells, texts)]
+        p = P.build_postings(frame(spark, rows, f"{names}, seq string"), 4, overlapping=True)
+        queries = frame(spark, [(1, QUERY), (2, QUERY[5:]), (None, texts[3])], "group_id long, seq string")
+        for single in (False, True):
+            args = (queries, p, P.kmer_stats(p), 4, 12, 0.65, 0, 100, single)
+            monkeypatch.undo()
+            held = search.where(*args)
+            assert "hashpartitioning(part" in held._jdf.queryExecution().executedPlan().toString()
+            monkeypatch.setattr(search, "HELD", 0)
+            joined = search.where(*args)
+            assert held.columns == joined.columns and sorted(map(repr, map(tuple, held.collect()))) == sorted(map(repr, map(tuple, joined.collect()))) != []
